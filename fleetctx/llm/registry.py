@@ -1,10 +1,12 @@
 """The opN_ queries and those of their results that DuckDB SQL can give."""
 
-from . import sharding, simhash
+from . import langid, sharding, simhash, tokens
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op6_rendezvous": sharding.op6_rendezvous,
+    "op7_orc": tokens.op7_orc,
+    "op9_kneser_ney": langid.op9_kneser_ney,
 }
 
 ORACLE_SQL: dict[str, str] = {}
