@@ -14,23 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import benchmark, documents, materialize
+from .shared import LOWER, UPPER, benchmark, documents, lowered, materialize, with_document
 
 WIDTH = 13
 RAREST = 2
 #: Fixed value: the ASCII characters that part words, as a Java regex; A-Z are lowered word by word.
 PARTING = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Broadcast bounds: bytes of benchmark text, and keys of candidate documents. Beyond them joins shuffle.
 BROADCAST_TEXT = 4 << 20
 BROADCAST_KEYS = 200_000
 
 
-def lowered(word: Column) -> Column:
-    """A-Z in lower case; lower() is cheaper but only right for ASCII."""
-    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
-
-
 def _parts(text: Column) -> Column:
     return F.split(F.coalesce(text.cast("string"), F.lit("")), PARTING, -1)
 
@@ -55,12 +49,6 @@ def corpus_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.where("raw <> ''").select("doc_id", "th", (F.col("at") - F.col("lead")).alias("pos"), lowered(F.col("raw")).alias("term"))
 
 
-def with_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """left joined with right on (doc_id, th); a null doc_id meets a null."""
-    right = right.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-    return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["th"] == right["__th"]), how).drop("__id", "__th")
-
-
 class Index:
     """The items' windows, their rarest terms, and those terms' postings over a corpus."""
 

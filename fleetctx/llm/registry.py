@@ -1,10 +1,11 @@
 """The opN_ queries and those of their results that DuckDB SQL can give."""
 
-from . import decontam, langid, mixing, quality, sharding, simhash, tokens
+from . import decontam, langid, linededup, mixing, quality, sharding, simhash, tokens
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op3_inverted_index": decontam.op3_inverted_index,
+    "op4_cuckoo": linededup.op4_cuckoo,
     "op6_rendezvous": sharding.op6_rendezvous,
     "op7_orc": tokens.op7_orc,
     "op8_hierarchical": mixing.op8_hierarchical,
@@ -14,6 +15,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_inverted_index": decontam.op3_sql(),
+    "op4_cuckoo": linededup.op4_sql(),
     "op8_hierarchical": mixing.op8_sql(),
     "op10_line_rules": quality.op10_sql(),
 }

@@ -5,11 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fixed value: ASCII white space as the contracts name it (space, tab to carriage return), as a Java regex class.
 WS_CLASS = "[ \\x09-\\x0D]"
+WS = " \t\n\x0b\x0c\r"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -50,6 +52,17 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
 
+def lowered(word: Column) -> Column:
+    """A-Z in lower case; lower() is cheaper but only right for ASCII."""
+    return F.when(F.octet_length(word) == F.length(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+def with_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """left joined with right on (doc_id, th); a null doc_id meets a null."""
+    right = right.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
+    return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["th"] == right["__th"]), how).drop("__id", "__th")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(u, v) links of long nodes -> (node, root): the smallest node reachable, for every node that has a link.
 
