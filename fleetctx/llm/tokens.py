@@ -10,10 +10,10 @@ Other texts go to the library whole.
 
 from __future__ import annotations
 
-import re
 import sys
 import types
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +24,10 @@ from pyspark.sql import functions as F
 from .shared import documents, new_path
 
 END_ID = 0
-#: White space beside a space: there a pre-token may hold more than one space.
-RUNS = re.compile(r"\s \s|  ")
 #: Pieces that one worker remembers; when full it starts anew.
-MEMORY = 600_000
+MEMORY = 900_000
+#: New pieces go to the library so many at a time: it is slower on longer texts.
+LINE = 32
 
 
 class Encoder:
@@ -38,6 +38,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(model_json)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.memory = memory
         self.clear()
 
@@ -45,23 +48,42 @@ class Encoder:
         self.at: dict[str, int] = {}
         self.first = np.zeros(1 << 16, np.int64)
         self.size = np.zeros(1 << 16, np.int64)
+        self.edges = np.zeros((2, 1 << 16), bool)  # the piece begins, ends with white space
         self.flat = np.zeros(1 << 18, np.int32)
         self.used = 0
 
+    def _ids(self, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all pieces in one array, and the number of each piece's ids."""
+        lines = ["".join([" " + p for p in names[k : k + LINE]]) for k in range(0, len(names), LINE)]
+        flat = np.array([i for e in self.tokenizer.encode_batch(lines, add_special_tokens=False) for i in e.ids], np.int32)
+        starts = np.flatnonzero(self.opens[flat])
+        if len(starts) == len(names):
+            return flat, np.diff(np.append(starts, len(flat)))
+        each = [e.ids for e in self.tokenizer.encode_batch([" " + p for p in names], add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.int32), np.fromiter(map(len, each), np.int64, len(each))
+
     def _learn(self, names: list[str]) -> None:
         """Encode new pieces; a name is a piece without its space, or NUL and a piece that opens a text."""
-        pieces = [p[1:] if p[:1] == "\0" else " " + p for p in names]
-        found = [e.ids for e in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.at), int(sizes.sum())
-        while n + len(found) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
-        while self.used + total > len(self.flat):
+        plain = [p for p in names if p and p[0] != "\0" and p.isprintable()]  # white space beside the space is not
+        held = set(plain)
+        others = [p for p in names if p not in held]
+        each = [e.ids for e in self.tokenizer.encode_batch([p[1:] if p[:1] == "\0" else " " + p for p in others], add_special_tokens=False)]
+        flat, sizes = self._ids(plain) if plain else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        names = plain + others
+        flat = np.concatenate([flat, np.array([i for ids in each for i in ids], np.int32)])
+        sizes = np.concatenate([sizes, np.fromiter(map(len, each), np.int64, len(each))])
+        n = len(self.at)
+        while n + len(names) > len(self.first):
+            self.first, self.size, self.edges = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size)), np.concatenate([self.edges, np.zeros_like(self.edges)], axis=1)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.first[n : n + len(found)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(found)] = sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.int32, total)
-        self.used += total
+        self.first[n : n + len(names)] = self.used + np.cumsum(sizes) - sizes
+        self.size[n : n + len(names)] = sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        for k, p in enumerate(others, n + len(plain)):
+            bare = p[1:] if p[:1] == "\0" else p or " "
+            self.edges[:, k] = bare[:1].isspace(), bare[-1:].isspace()
         self.at.update(zip(names, range(n, n + len(names))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -70,28 +92,30 @@ class Encoder:
             self.clear()
         pieces: list[str] = []
         counts: list[int] = []
-        whole: dict[int, np.ndarray] = {}
+        whole = {k for k, t in enumerate(texts) if "\0" in t}
         for k, text in enumerate(texts):
-            if RUNS.search(text) or "\0" in text:
-                whole[k] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
-                counts.append(0)
-            elif text:
-                parts = text.split(" ")
+            parts = text.split(" ") if text and k not in whole else []
+            if parts:
                 parts[0] = "\0" + parts[0]  # the only piece without a space before it
                 pieces += parts
-                counts.append(len(parts))
-            else:
-                counts.append(0)
-        new = [p for p in dict.fromkeys(pieces) if p not in self.at]
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(self.at.__getitem__, pieces), np.int64, len(pieces))
+            counts.append(len(parts))
+        index = np.fromiter(map(self.at.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = np.flatnonzero(index < 0)
+        if len(new):
+            names = [pieces[k] for k in new.tolist()]
+            self._learn(list(dict.fromkeys(names)))
+            index[new] = np.fromiter(map(self.at.__getitem__, names), np.int64, len(names))
+        ends = np.cumsum(counts)
+        # White space on both sides of a space may join in one pre-token: such a text is encoded whole.
+        joined = self.edges[1, index[:-1]] & self.edges[0, index[1:]]
+        whole |= {int(k) for k, at in ((np.searchsorted(ends, j, "right"), j) for j in np.flatnonzero(joined)) if at + 1 < ends[k]}
         sizes = self.size[index]
-        ends = np.cumsum(sizes)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self.flat[np.repeat(self.first[index] - (ends - sizes), sizes) + np.arange(total)]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)] if len(texts) else []
-        return [whole[k] if k in whole else flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+        stops = np.cumsum(sizes)
+        total = int(stops[-1]) if len(stops) else 0
+        flat = self.flat[np.repeat(self.first[index] - (stops - sizes), sizes) + np.arange(total)]
+        bounds = np.concatenate([[0], stops])[np.concatenate([[0], ends]).astype(np.int64)]
+        encode = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+        return [encode(texts[k]) if k in whole else flat[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
 
 
 def _encoder(key: str, model_json: str) -> Encoder:
