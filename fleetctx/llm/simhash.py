@@ -9,12 +9,13 @@ survivors get the full Hamming check. No pair is lost and no bucket is capped.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import connected_components, documents, materialize
@@ -112,27 +113,29 @@ def one_bit_links(fps: DataFrame) -> DataFrame:
     return asked.join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tau: int = 4, segments: int = 5, chain: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, taus: Sequence[int] = (4,), chain: int = 2) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id, rep_id, rep_hash) for each row of docs.
 
-    component_id is the smallest doc_id reachable over links of fingerprints, itself included; equal
-    fingerprints are linked. Null or empty texts have fingerprint 0 and form (or join) one component. Null
-    doc_ids are members that never become component_id unless no other member has one (then it is null).
-    rep_id, rep_hash name the row that stands for the component: ties on doc_id go to the smaller text_hash.
-    Repeated rows are repeated in the result. Other columns of docs are ignored.
+    Fingerprints within the last of taus are linked; smaller taus before it only connect what is dense, so
+    that later ones look between components alone. component_id is the smallest doc_id reachable over links,
+    itself included; equal fingerprints are linked. Null or empty texts have fingerprint 0 and form (or
+    join) one component. Null doc_ids are members that never become component_id unless no other member has
+    one (then it is null). rep_id, rep_hash name the row that stands for the component: ties on doc_id go to
+    the smaller text_hash. Repeated rows are repeated in the result. Other columns of docs are ignored.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
     by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")), "simhash-fp")
     close = connected_components(one_bit_links(by_fp.select("fp")))
     grouped = materialize(by_fp.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rep", F.coalesce("root", "fp").alias("group")), "simhash-groups")
-    far = links(grouped.select("fp", "group"), tau, segments, chain)
-    group_of = grouped.select("fp", "group")
-    far = far.join(group_of.withColumnsRenamed({"fp": "u", "group": "gu"}), "u").join(group_of.withColumnsRenamed({"fp": "v", "group": "gv"}), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
-    wide = connected_components(far)
-    rooted = grouped.join(wide.select(F.col("node").alias("group"), "root"), "group", "left").select("fp", F.coalesce("root", "group").alias("root"), "least", "rep")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
-    named = materialize(rooted.select("fp", "root").join(best, "root").select("fp", "root", "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash")), "simhash-named")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")
+    for tau in taus:
+        far = links(grouped.select("fp", "group"), tau, tau + 1, chain)
+        group_of = grouped.select("fp", "group")
+        far = far.join(group_of.withColumnsRenamed({"fp": "u", "group": "gu"}), "u").join(group_of.withColumnsRenamed({"fp": "v", "group": "gv"}), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
+        wide = connected_components(far).withColumnRenamed("node", "group")
+        grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", F.coalesce("root", "group").alias("group")), "simhash-groups")
+    best = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
+    named = grouped.select("fp", "group").join(best, "group").select("fp", F.col("group").alias("root"), "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    return rows.join(materialize(named, "simhash-named"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -140,8 +143,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
 
     Of rows that repeat the chosen doc_id and text, one stays.
     """
-    from pyspark.sql import Window
-
     chosen = near_duplicates(docs, id_col, text_col, **how)
     chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
     marked = docs.withColumn("__hash", F.xxhash64(text_col))
