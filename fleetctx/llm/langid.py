@@ -107,7 +107,7 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER)
     """Interpolated Kneser-Ney from n-gram counts: language -> (sorted packed n-grams, counts)."""
     langs = sorted(counts)
     alphabet = max(len(np.unique(np.concatenate([np.zeros(1, np.uint64), *(k & np.uint64(0xFFFF) for k, _ in counts.values())]))), 2)
-    floor = np.full(len(langs), -np.log(alphabet + 1), np.float32)
+    floor = np.full(len(langs), -np.log(alphabet), np.float32)  # one of them stands for characters never seen
     per: dict[str, list] = {}
     for lang, (keys, n) in counts.items():
         levels = [(keys, n)]
