@@ -51,13 +51,17 @@ def project_from_path(path: Column, explicit: Column | None = None) -> Column:
     return norm_project(F.coalesce(named, last))
 
 
-def fields(payload: Column, *keys: str) -> list[Column]:
-    """A column <key>_text for each field of a payload; all null where it is not a whole JSON object.
+def payload_object(payload: Column, *keys: str) -> Column:
+    """Some fields of a payload as a struct of text, parsed once; null where it is not a whole JSON object.
 
-    One parse gives all fields as text, so a string that spells a number, true or false reads like one.
+    A string that spells a number, true or false reads like one.
     """
-    v = F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` string" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
-    return [F.when(v["__broken"].isNull(), v[k]).alias(f"{k}_text") for k in keys]
+    return F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` string" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
+
+
+def fields(v: str, *keys: str) -> list[Column]:
+    """Columns <key>_text of a column made by payload_object. Select that column first, so it is parsed once."""
+    return [F.when(F.col(f"{v}.__broken").isNull(), F.col(f"{v}.{k}")).alias(f"{k}_text") for k in keys]
 
 
 def as_text(key: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DEFAULT, as_long, as_text, capped, fields, text_or, truthy
+from ..functions.scalars import DEFAULT, as_long, as_text, capped, fields, payload_object, text_or, truthy
 
 PLAN_STATUS = {"plan.claim": "claimed", "plan.done": "done", "plan.block": "blocked"}
 PLAN_KINDS = ["plan.open", *PLAN_STATUS]
@@ -24,7 +24,8 @@ def _log(events: DataFrame, kinds: list[str], upto: int | None, *keys: str) -> D
     rows = events.where(F.col("kind").isin(kinds))
     if upto is not None:
         rows = rows.where(F.col("id") <= upto)
-    return rows.select("id", "ts", "kind", "actor", F.coalesce("project", F.lit(DEFAULT)).alias("project"), *fields(F.col("payload"), *keys))
+    rows = rows.select("id", "ts", "kind", "actor", F.coalesce("project", F.lit(DEFAULT)).alias("project"), payload_object(F.col("payload"), *keys).alias("v"))
+    return rows.select("id", "ts", "kind", "actor", "project", *fields("v", *keys))
 
 
 def _guarded(rows: DataFrame) -> DataFrame:
