@@ -54,9 +54,11 @@ def project_from_path(path: Column, explicit: Column | None = None) -> Column:
 def payload_object(payload: Column, *keys: str) -> Column:
     """Some fields of a payload as a struct of text, parsed once; null where it is not a whole JSON object.
 
-    A string that spells a number, true or false reads like one.
+    A string that spells a number, true or false reads like one. The parse counts as not deterministic, so that
+    the optimizer neither copies it into every use nor pushes filters on its fields below it: plans stay small.
     """
-    return F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` string" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
+    parsed = F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` string" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
+    return F.when(F.monotonically_increasing_id() >= 0, parsed)
 
 
 def fields(v: str, *keys: str) -> list[Column]:
