@@ -23,18 +23,24 @@ from .shared import connected_components, documents, materialize
 SEED = 42
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """Signed 64-bit SimHash of a whole text; 0 where it has no word."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the word shingles of a whole text, repeats included; none where it has no word."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z fall, only ASCII white space parts
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     starts = np.cumsum(sizes + 1) - sizes - 1
     span = min(width, len(words))
     ends = (starts + sizes)[span - 1 :]
     parts = map(joined.__getitem__, map(slice, starts[: len(ends)].tolist(), ends.tolist()))
-    h = np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(ends))
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts, repeat(SEED)), np.uint64, len(ends))
+
+
+def fold_bits(h: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes; 0 where there is none."""
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 1 << 20):
         bits = np.unpackbits(h[a : a + (1 << 20)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -43,16 +49,44 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(set_bits.view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """One row (doc_id, text_hash, fp) for each row of docs. A null text counts as empty."""
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """Signed 64-bit SimHash of a whole text; 0 where it has no word."""
+    return fold_bits(shingles(text, width))
+
+
+#: Bands of min-wise hashes that complete the links: sets of similarity 0.8 share one of 16 bands of 5 with probability 0.998.
+BANDS, BAND_ROWS = 16, 5
+_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> list[int]:
+    """A key for each band of min-wise hashes of a set; none for the empty set."""
+    if not len(h):
+        return []
+    least = np.array([((h ^ x) * m).min() for x, m in _MIX], np.uint64)
+    return [_signed(xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), SEED)) for k in range(0, len(least), BAND_ROWS)]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, banded: bool = False) -> DataFrame:
+    """One row (doc_id, text_hash, fp) for each row of docs. A null text counts as empty.
+
+    banded: also n, how many different shingles, and bands, the keys of min-wise bands.
+    """
 
     def batches(it):
         for b in it:
-            fps = [fingerprint(t, width) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.int64())], names=["doc_id", "text_hash", "fp"])
+            found = []
+            for t in b.column(2).to_pylist():
+                h = shingles(t, width)
+                u = np.unique(h) if banded else h
+                found.append((fold_bits(h), len(u), band_keys(u) if banded else None))
+            columns = [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64())]
+            if banded:
+                columns += [pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "n", "bands"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long")
+    return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long" + (", n long, bands array<long>" if banded else ""))
 
 
 def _signed(x: int) -> int:
@@ -113,17 +147,69 @@ def one_bit_links(fps: DataFrame) -> DataFrame:
     return asked.join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, taus: Sequence[int] = (4,), chain: int = 2) -> DataFrame:
+def similar_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """Of pairs (a, b, u, v) of text hashes and their groups, distinct (u, v) with shingle sets of at least this similarity.
+
+    texts: (text_hash, rep) names one row of docs for each text, so copies of a text are not read again.
+    """
+    pairs = materialize(pairs.distinct(), "simhash-pairs")
+    needed = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct().join(texts.select("text_hash", "rep"), "text_hash").withColumnsRenamed({"text_hash": "__h"})
+    held = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    held = held.join(needed, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("__h")), "left_semi").select("h", "text").dropDuplicates(["h"])
+    held = materialize(held, "simhash-texts")
+
+    def batches(it):
+        for batch in it:
+            us, vs = [], []
+            for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = np.unique(shingles(a, width)), np.unique(shingles(b, width))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both and both >= similarity * (len(x) + len(y) - both):
+                    us.append(u)
+                    vs.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    wide = pairs.join(held.withColumnsRenamed({"h": "a", "text": "text_a"}), "a").join(held.withColumnsRenamed({"h": "b", "text": "text_b"}), "b")
+    return wide.select("u", "v", "text_a", "text_b").mapInArrow(batches, "u long, v long").distinct()
+
+
+def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """grouped with groups united whose texts are at least this similar; candidates share a min-wise band.
+
+    First each text of a bucket meets the bucket's least text only, which unites dense clusters at a cost linear in
+    their size; then every two texts of a bucket whose groups still differ meet. No bucket is capped.
+    """
+    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
+    texts = materialize(texts.join(grouped.select("fp", "group"), "fp"), "simhash-by-text")
+    cells = texts.select("text_hash", "n", "group", F.posexplode("bands").alias("band", "key"))
+    shared = cells.groupBy("band", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min(F.struct("text_hash", "n", "group")).alias("least")).where("lo <> hi").select("band", "key", "least")
+    members = materialize(cells.join(shared, ["band", "key"]), "simhash-members")
+    fits = lambda n, m: (F.col(n) >= similarity * F.col(m)) & (F.col(m) >= similarity * F.col(n))
+    star = members.where((F.col("group") != F.col("least.group")) & fits("n", "least.n")).select(F.col("text_hash").alias("a"), F.col("least.text_hash").alias("b"), F.col("group").alias("u"), F.col("least.group").alias("v"))
+    for rest in (False, True):
+        pairs = star
+        if rest:
+            now = members.join(grouped.select("group", F.col("wide").alias("g")).distinct(), "group").select("band", "key", "text_hash", "n", "g")
+            other = now.withColumnsRenamed({"text_hash": "b", "n": "m", "g": "v"})
+            pairs = now.withColumnsRenamed({"text_hash": "a", "g": "u"}).join(other, ["band", "key"]).where((F.col("u") < F.col("v")) & fits("n", "m")).select("a", "b", "u", "v")
+            grouped = grouped.select("fp", "least", "rep", F.col("wide").alias("group"))
+        wide = connected_components(similar_links(docs, texts, pairs, id_col, text_col, width, similarity)).withColumnsRenamed({"node": "group", "root": "wide"})
+        grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", "group", F.coalesce("wide", "group").alias("wide")), "simhash-groups")
+    return grouped.select("fp", "least", "rep", F.col("wide").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, taus: Sequence[int] = (4,), chain: int = 2, similarity: float | None = None) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id, rep_id, rep_hash) for each row of docs.
 
     Fingerprints within the last of taus are linked; smaller taus before it only connect what is dense, so
     that later ones look between components alone. component_id is the smallest doc_id reachable over links,
     itself included; equal fingerprints are linked. Null or empty texts have fingerprint 0 and form (or
     join) one component. Null doc_ids are members that never become component_id unless no other member has
-    one (then it is null). rep_id, rep_hash name the row that stands for the component: ties on doc_id go to
+    one (then it is null). similarity: texts whose sets of shingles are at least this similar (Jaccard) are linked
+    too, since 64 bits cannot be searched at the distances of 0.8; see complete(). rep_id, rep_hash name the row that stands for the component: ties on doc_id go to
     the smaller text_hash. Repeated rows are repeated in the result. Other columns of docs are ignored.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col, width), "simhash")
+    rows = materialize(fingerprints(docs, id_col, text_col, width, similarity is not None), "simhash")
     by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")), "simhash-fp")
     close = connected_components(one_bit_links(by_fp.select("fp")))
     grouped = materialize(by_fp.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rep", F.coalesce("root", "fp").alias("group")), "simhash-groups")
@@ -133,6 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         far = far.join(group_of.withColumnsRenamed({"fp": "u", "group": "gu"}), "u").join(group_of.withColumnsRenamed({"fp": "v", "group": "gv"}), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
         wide = connected_components(far).withColumnRenamed("node", "group")
         grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", F.coalesce("root", "group").alias("group")), "simhash-groups")
+    if similarity is not None:
+        grouped = complete(docs, rows, grouped, id_col, text_col, width, similarity)
     best = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
     named = grouped.select("fp", "group").join(best, "group").select("fp", F.col("group").alias("root"), "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     return rows.join(materialize(named, "simhash-named"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")

@@ -125,6 +125,33 @@ def test_simhash_components(spark, monkeypatch, taus):
     assert [got[i] for i in range(len(fps))] == want
 
 
+def test_simhash_similarity(spark):
+    """Components of links at similarity 0.8 or 4 bits, against all pairs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    rows = []
+    for k in range(40):
+        base = [word() for _ in range(rng.choice((30, 200, 600)))]
+        for c in range(4):
+            text = list(base)
+            for at in rng.sample(range(len(base)), rng.choice((0, 1, 2, len(base) // 60, len(base) // 40))):
+                text[at] = word()
+            rows.append((k * 10 + c, " ".join(text), "en", "s", 1))
+    rows += [(900, None, "en", "s", 1), (901, "", "en", "s", 1), (902, "One two", "en", "s", 1), (903, "one  TWO", "en", "s", 1)]
+    sets = {r[0]: set(simhash.shingles(r[1], 5).tolist()) for r in rows}
+    fps = {r[0]: simhash.fingerprint(r[1], 5) & (2**64 - 1) for r in rows}
+    root = {d: d for d in sets}
+    far = 0
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and ((fps[a] ^ fps[b]).bit_count() <= 4 or (sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))):
+                far += (fps[a] ^ fps[b]).bit_count() > 6
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = {d: new if r == old else r for d, r in root.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows, CLASH), width=5, similarity=0.8).collect()}
+    assert far > 10 and got == root
+
+
 def test_simhash_awkward(spark):
     rows = awkward()
     got = simhash.near_duplicates(frame(spark, rows, CLASH))
@@ -133,6 +160,7 @@ def test_simhash_awkward(spark):
     least = {c: min((rows[i][0] for i in range(len(rows)) if root[i] == c and rows[i][0] is not None), default=None) for c in root}
     assert tuples(got, "doc_id", "component_id") == sorted(((r[0], least[c]) for r, c in zip(rows, root)), key=repr)
     kept = simhash.keep_one(frame(spark, rows, CLASH))
+    assert simhash.keep_one(frame(spark, rows, CLASH), width=5, similarity=0.8).columns == kept.columns
     assert kept.count() == len(set(root)) and kept.columns == frame(spark, rows, CLASH).columns
     assert simhash.near_duplicates(frame(spark, [])).count() == simhash.keep_one(frame(spark, [])).count() == 0
 
