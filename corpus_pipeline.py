@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: shingles of five words, fingerprints within 6 bits (about 0.9 similar)."""
-    return simhash.keep_one(docs, width=5, taus=(4, 6))
+    """One document of each near-duplicate group: shingles of five words, fingerprints within 4 bits or sets 0.8 similar."""
+    return simhash.keep_one(docs, width=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
