@@ -15,6 +15,7 @@ from ..functions.scalars import DEFAULT, item_line, one_line, origin_tag
 from ..functions.scope import scoped
 from . import brief
 from .brief import CLOSED, event_line
+from .ledger import watermarks
 
 #: Budgets in characters, page size, limits of an inlined build.
 DELTA_BUDGET, ITEM_ROOM, PAGE = 2000, 402, 12
@@ -179,6 +180,35 @@ def first_contact(events: DataFrame, plan: DataFrame, decisions: DataFrame, awar
     return text.join(held).select("payload", refs.alias("refs"), "watermark")
 
 
+def first_contacts(events: DataFrame, plan: DataFrame, decisions: DataFrame, awareness: DataFrame, tool_events: DataFrame, as_of: float, agents: DataFrame) -> DataFrame:
+    """first_contact() of every agent (agent_id, project) in one job: (agent_id, payload, refs, watermark)."""
+    tenants = agents.select(F.col("project").alias("reader")).distinct()
+    builds, rules = brief.builds_by_tenant(plan, tenants).persist(), brief.decisions_by_tenant(decisions, tenants).persist()
+    text = brief.briefs(events, tenants, builds, rules, awareness, tool_events, as_of).select("reader", wrap(F.col("text"), brief.BUDGET_CHARS).alias("payload"), "watermark")
+    ident = F.col("id").cast("string")
+    marks = builds.select("reader", F.struct(F.concat(F.lit("build:"), ident).alias("item_ref"), F.concat(F.lit(" build:"), ident, F.lit(' "')).alias("mark")).alias("x"))
+    marks = marks.unionByName(rules.select("reader", F.struct(F.concat(F.lit("decision:"), ident).alias("item_ref"), F.concat(F.lit(" d"), ident, F.lit(" [")).alias("mark")).alias("x")))
+    held = marks.groupBy("reader").agg(F.collect_list("x").alias("items"))  # at most ten a tenant
+    shown = F.array_sort(F.transform(F.filter("items", lambda x: F.contains(F.col("payload"), x["mark"])), lambda x: x["item_ref"]))
+    rows = text.join(held, "reader", "left").select("reader", "payload", F.concat(F.array(F.lit("manual"), F.lit("wm")), F.coalesce(shown, F.array().cast("array<string>"))).alias("refs"), "watermark")
+    return agents.join(rows, F.col("project") == F.col("reader")).select("agent_id", "payload", "refs", "watermark")
+
+
+def payloads(events: DataFrame, plan: DataFrame, decisions: DataFrame, awareness: DataFrame, tool_events: DataFrame, ledger: DataFrame, agents: DataFrame, as_of: float) -> DataFrame:
+    """For every agent (agent_id, project): the brief of first contact if its ledger lacks 'manual', else its update.
+
+    Columns are those of compose_delta. Updates carry the tenant's attention snapshot. Both kinds read the folds
+    and agents several times, so these are persisted: else the plan holds each a dozen times.
+    """
+    plan, decisions, awareness, ledger = (x.persist() for x in (plan, decisions, awareness, ledger))
+    marked = agents.select("agent_id", "project").join(watermarks(ledger), "agent_id", "left").persist()
+    returning = marked.where("met").select("agent_id", "project", "since")
+    fresh = marked.where("not coalesce(met, false)").select("agent_id", "project")
+    updates = compose_delta(events, plan, decisions, ledger, returning, brief.attention_shifts(events, as_of))
+    firsts = first_contacts(events, plan, decisions, awareness, tool_events, as_of, fresh)
+    return updates.unionByName(firsts.withColumn("is_quiet", F.lit(False)))
+
+
 def accept_rewrite(text: str, budget: int, fitted: str, refs: set[str], kept_refs: set[str], watermark: int, kept_watermark: int) -> bool:
     """Whether a curated text may stand for the fitted one: within budget, no plain cut, and nothing lost."""
     return bool(text) and len(text) <= budget and text != fitted[:budget] and kept_refs <= refs and watermark >= kept_watermark

@@ -130,10 +130,8 @@ def agent_pages(spark, d):
 def compose_fleet(spark, d):
     """Payloads of every agent in one job (packing is tested against a loop)."""
     agents = derived.raw(spark, d).select(F.col("actor").alias("agent_id"), "project").distinct()
-    held = derived.ledger(spark, d)
-    marks = ledger.watermarks(held).select("agent_id", "since")
-    agents = agents.join(marks, "agent_id", "left").select("agent_id", "project", F.coalesce("since", F.lit(0)).alias("since"))
-    return compose.compose_delta(derived.log(spark, d, "plan"), plan_fold(spark, d), decision_fold(spark, d), held, agents)
+    events, aware = derived.log(spark, d, "plan"), fold.awareness(derived.log(spark, d, "session"))
+    return compose.payloads(events, plan_fold(spark, d), decision_fold(spark, d), aware, derived.tool_events(spark, d), derived.ledger(spark, d), agents, _day_end(events))
 
 
 def delivery_state(spark, d):

@@ -1,5 +1,6 @@
 """Reports, packing against a loop, the ledger, health, retrieval, the stream."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
@@ -110,6 +111,33 @@ def test_brief_and_first_contact(spark):
     assert tuple(brief.delta_brief(events, 999, "alpha").first()) == ("", 999)
 
 
+def test_fleet_payloads_hold_attention_and_first_contact(spark):
+    events = log.first_wins(log.frame(spark, [
+        *(log.event("decision.make", "lead", k, subject=f"rule {k}", choice="c", binds="all", project=("alpha", "bravo")[k % 2], shared=k in (1, 2)) for k in range(14)),
+        *(log.event("plan.open", "lead", 20 + k, kind="goal", title=f"build {k}", project=("alpha", "bravo")[k % 2], shared=k in (3, 4)) for k in range(14)),
+        *(log.event("session.start", f"s{k}", 40 + k, role="r", task="t", project=("alpha", "bravo")[k % 2]) for k in range(4)),
+        *(log.event("observation", f"a{k}", 100 + k, q=f"q{k % 5}", traversal=True, project="alpha") for k in range(13)),
+    ]))
+    plan, decisions, aware = fold.plan_node(events), fold.decision(events), fold.awareness(events)
+    tools = spark.createDataFrame([("t", "f", int(k < 3), ("alpha", "bravo")[k % 2]) for k in range(60)], "tool string, path string, is_error int, project string")
+    agents = spark.createDataFrame([("old", "alpha"), ("calm", "bravo"), ("new", "alpha"), ("marked", "bravo")], "agent_id string, project string")
+    head = events.count()
+    known = [(a, ref, head, 0.0, None, "emitted") for a in ("old", "calm") for ref in ["manual", "wm", *(f"decision:{r.id}" for r in decisions.collect()), *(f"build:{r.id}" for r in plan.collect())]]
+    held = spark.createDataFrame([*known, ("marked", "wm", 5, 0.0, None, "emitted")], "agent_id string, item_ref string, watermark long, delivered_at double, used_at double, state string")
+    made = lambda ledger: {r.agent_id: r for r in compose.payloads(events, plan, decisions, aware, tools, ledger, agents, 200.0).collect()}
+    got = made(held)
+    lines = "  3x :: q2\n  3x :: q1\n  3x :: q0"
+    ref = "attention:" + hashlib.sha256(lines.encode()).hexdigest()[:16]
+    assert not got["old"].is_quiet and got["old"].refs == [ref, "wm"] and f"\nFLEET ATTENTION (24h):\n{lines}\n" in got["old"].payload
+    assert got["calm"].is_quiet and got["calm"].refs == ["wm"]
+    for agent, tenant in (("new", "alpha"), ("marked", "bravo")):
+        want = compose.first_contact(events, plan, decisions, aware, tools, 200.0, tenant).first()
+        assert (got[agent].payload, got[agent].refs, got[agent].watermark, got[agent].is_quiet) == (*want, False)
+    more = ledger.mark(compose.emitted(spark.createDataFrame([got["old"], got["new"]])), 1.0)
+    after = made(ledger.current(held.unionByName(more.select(*held.columns))).select(*held.columns))
+    assert after["old"].is_quiet and "FLEET UPDATE for new" in after["new"].payload
+
+
 def test_usage_and_effectiveness(spark):
     events = fleet(spark, 1, 2)
     plan, decisions = fold.plan_node(events), fold.decision(events)
