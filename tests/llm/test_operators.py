@@ -152,6 +152,14 @@ def test_simhash_similarity(spark):
     assert far > 10 and got == root
 
 
+def test_bands_lose_no_pair_at_30_gb():
+    """22 pairs of 0.8 in 6,000 documents, carried to 15.1e6 documents by the square."""
+    assert 22 * (15.1e6 / 6000) ** 2 * (1 - 0.8**simhash.BAND_ROWS) ** simhash.BANDS < 1
+    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000, np.uint64))
+    least = np.array([((h ^ x) * m).min() for x, m in simhash._MIX], np.uint64).reshape(simhash.BANDS, -1)
+    assert simhash.band_keys(h) == [simhash._signed(simhash.xxhash.xxh64_intdigest(row.tobytes(), simhash.SEED)) for row in least]
+
+
 def test_simhash_awkward(spark):
     rows = awkward()
     got = simhash.near_duplicates(frame(spark, rows, CLASH))
