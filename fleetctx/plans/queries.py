@@ -150,8 +150,8 @@ def usage(spark, d):
     """Deliveries whose subject an agent's signals name: each error event is a signal 'item 7 rule 7'."""
     rows = derived.raw(spark, d).where("event_type = 'error'")
     text = F.concat(F.lit("edit item "), F.col("k").cast("string"))
-    signals = rows.groupBy(F.col("actor").alias("agent_id")).agg(F.min(ledger.signal_text(text)).alias("text"))
-    named = ledger.subjects(plan_fold(spark, d), decision_fold(spark, d), claim_fold(spark, d).limit(0))
+    signals = rows.select(F.col("actor").alias("agent_id"), ledger.signal_text(text).alias("text")).distinct()
+    named = ledger.subjects(plan_fold(spark, d), decision_fold(spark, d), claim_fold(spark, d))
     return ledger.used_refs(derived.ledger(spark, d), named, signals)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetctx.functions import scalars
 from fleetctx.operators import brief, compose, fold, health, ledger, probe
+from fleetctx.plans import queries
 from fleetctx.sources import log
 from fleetctx.streaming import fold_stream
 
@@ -156,6 +157,13 @@ def test_usage_and_effectiveness(spark):
     assert health.verdict({"sessions_started": 1, "deliveries": 2, "tool_errors": 0, "tool_calls": 3}).startswith("1 sessions")
 
 
+def test_usage_hears_every_signal(spark, tmp_path):
+    rows = [(0, "signup", 0, 1234), (1, "error", 0, 1234), (2, "error", 0, 1000), *((k, "view", 4, 1) for k in range(3, 9))]
+    events = spark.createDataFrame([(k, kind, user, f'{{"k": {n}}}', 1.0) for k, kind, user, n in rows], "event_id long, event_type string, user_id long, props string, value double")
+    events.withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00'")).coalesce(1).write.parquet(f"file://{tmp_path}/events.parquet")
+    assert [tuple(r) for r in queries.usage(spark, f"file://{tmp_path}").collect()] == [("u0", "decision:1234")]
+
+
 def test_tenant_labels(spark):
     cases = [(r"C:\dev\my app", "myapp"), ("/c/dev/thing", "thing"), (r"C:\dev/mixed\end/", "end"), ("", "default"), ("C:", "default"), (None, "default"), ("/a/b.c_d-e", "b.c_d-e")]
     df = spark.createDataFrame(cases, "p string, want string").select(scalars.project_from_path(F.col("p")).alias("got"), "want")
