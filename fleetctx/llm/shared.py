@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset and one machine does all the work."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder; on a cluster the operators need one that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="fleetctx-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -44,6 +48,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def veiled(df: DataFrame, *names: str) -> tuple:
+    """df with its columns renamed by place, c0, c1, ..., so that none can clash with ours; and where the named ones are now."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]), *[f"c{df.columns.index(n)}" for n in names]
+
+
+def unveiled(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of like, from a frame made of its veiled form."""
+    return df.select(*[F.col(f"c{k}").alias(n) for k, n in enumerate(like.columns)])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,7 +77,7 @@ def with_document(left: DataFrame, right: DataFrame, how: str = "inner") -> Data
     return left.join(right, left["doc_id"].eqNullSafe(right["__id"]) & (left["th"] == right["__th"]), how).drop("__id", "__th")
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) links of long nodes -> (node, root): the smallest node reachable, for every node that has a link.
 
     Each round every node takes the least root among itself and its neighbours, then roots are
@@ -72,7 +86,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """
     both = materialize(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "cc-edges")
     label = materialize(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")), "cc-0")
-    for k in range(1, max_rounds + 1):
+    for k in count(1):
         near = both.join(label.select(F.col("node").alias("v"), "root"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
         step = label.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = label.select(F.col("node").alias("root"), F.col("root").alias("further"))
@@ -83,7 +97,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         label = after.select("node", "root")
         if not changed:
             break
-    else:
-        raise RuntimeError("components did not settle")
     discard(both)
     return label

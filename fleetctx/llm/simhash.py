@@ -9,6 +9,7 @@ survivors get the full Hamming check. No pair is lost and no bucket is capped.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 from itertools import combinations, repeat
 
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, documents, materialize
+from .shared import connected_components, documents, materialize, unveiled, veiled
 
 SEED = 42
 
@@ -54,41 +55,63 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return fold_bits(shingles(text, width))
 
 
-#: Bands of min-wise hashes that complete the links: sets of similarity 0.8 share none of 56 bands of 5 with probability 2.2e-10.
-BANDS, BAND_ROWS = 56, 5
-_MIX = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS * BAND_ROWS, 2), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles are counted by the low bits of their hashes, over all rows: counters of fixed size that put rare shingles first.
+RARITY_BITS = 18
+_LOW = np.uint64((1 << RARITY_BITS) - 1)
+#: Sums of the counters that reach the driver.
+TALLY_PARTS = 8
 
 
-def band_keys(h: np.ndarray) -> list[int]:
-    """A key for each band of min-wise hashes of a set; none for the empty set."""
-    if not len(h):
-        return []
-    least = np.full(len(_MIX), np.iinfo(np.uint64).max, np.uint64)
-    for a in range(0, len(h), 1 << 7):  # bounds the memory of a long text
-        np.minimum(least, ((h[a : a + (1 << 7)] ^ _MIX[:, :1]) * _MIX[:, 1:]).min(axis=1), out=least)
-    return [_signed(xxhash.xxh64_intdigest(least[k : k + BAND_ROWS].tobytes(), SEED)) for k in range(0, len(least), BAND_ROWS)]
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, banded: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tallied: bool = False) -> DataFrame:
     """One row (doc_id, text_hash, fp) for each row of docs. A null text counts as empty.
 
-    banded: also n, how many different shingles, and bands, the keys of min-wise bands.
+    tallied: also a column tally, null but for one more row of each task, which holds its counters of shingles.
     """
 
     def batches(it):
+        tally = np.zeros(1 << RARITY_BITS, np.int64)
         for b in it:
-            found = []
+            fps = []
             for t in b.column(2).to_pylist():
                 h = shingles(t, width)
-                u = np.unique(h) if banded else h
-                found.append((fold_bits(h), len(u), band_keys(u) if banded else None))
-            columns = [b.column(0), b.column(1), pa.array([x[0] for x in found], pa.int64())]
-            if banded:
-                columns += [pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "n", "bands"][: len(columns)])
+                fps.append(fold_bits(h))
+                if tallied and len(h) > 1 << RARITY_BITS:
+                    tally += np.bincount((h & _LOW).astype(np.int64), minlength=len(tally))
+                elif tallied:
+                    np.add.at(tally, (h & _LOW).astype(np.int64), 1)
+            columns = [b.column(0), b.column(1), pa.array(fps, pa.int64())]
+            if tallied:
+                columns.append(pa.nulls(len(fps), pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "fp", "tally"][: len(columns)])
+        if tallied:
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array([zlib.compress(tally.tobytes(), 1)])], names=["doc_id", "text_hash", "fp", "tally"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long" + (", n long, bands array<long>" if banded else ""))
+    return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long" + (", tally binary" if tallied else ""))
+
+
+def rarity(tallies: DataFrame) -> np.ndarray:
+    """The rank of each counter, rarest first, from (tally); ties fall to the counter's number."""
+
+    def add(it):
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in it:
+            for x in b.column(0).to_pylist():
+                total += np.frombuffer(zlib.decompress(x), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["tally"])
+
+    parts = tallies.select("tally").repartition(TALLY_PARTS).mapInArrow(add, "tally binary").collect()  # TALLY_PARTS arrays, whatever the input
+    total = np.sum([np.frombuffer(r.tally, np.int64) for r in parts], axis=0)
+    rank = np.empty(len(total), np.uint64)
+    rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
+    return rank
+
+
+def ranked(h: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The set of shingle hashes in the order of rarity: each hash with its counter's rank in place of its low bits, on top."""
+    u = np.unique(h)
+    return np.sort(rank[(u & _LOW).astype(np.int64)] << np.uint64(64 - RARITY_BITS) | u >> np.uint64(RARITY_BITS))
 
 
 def _signed(x: int) -> int:
@@ -125,8 +148,8 @@ class Ring:
 def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> DataFrame:
     """Distinct (u, v), u < v, that connect exactly the fingerprints connected by Hamming distance <= tau.
 
-    fps: distinct (fp, group); pairs inside one group are known to be connected and are left out, so a dense
-    cluster gives no square of pairs.
+    fps: distinct (fp, group); pairs inside one group are known to be connected and are left out: a question whose chain value
+    is stored for its own group alone goes no further, so a dense cluster that is one group is not compared with itself.
     """
     ring = Ring(tau, segments, chain)
     starts = range(segments)
@@ -134,11 +157,13 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> Da
     asks = [(s, f) for s in starts for f in ring.flips(s)]
     wanted = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(ring.mask(s, chain)).alias("m"), F.lit(f).alias("f")) for s, f in asks])
     asked = fps.select(F.col("fp").alias("a"), F.col("group").alias("a_group"), F.explode(wanted).alias("x")).select("a", "a_group", "x.s", F.expr("(a & x.m) ^ x.f").alias("k"))
+    held = stored.groupBy("s", "k").agg(F.min("b_group").alias("lo"), F.max("b_group").alias("hi"))
+    asked = asked.join(held, ["s", "k"]).where("lo <> a_group or hi <> a_group").select("a", "a_group", "s", "k")
     on = (asked.s == stored.s) & (asked.k == stored.k) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     for length in range(chain + 1, segments):
-        held = F.element_at(F.array(*[F.lit(ring.mask(s, length)) for s in starts]), asked.s + 1)
-        on &= F.bit_count(diff.bitwiseAND(held)) <= ring.budget(length)
+        mask = F.element_at(F.array(*[F.lit(ring.mask(s, length)) for s in starts]), asked.s + 1)
+        on &= F.bit_count(diff.bitwiseAND(mask)) <= ring.budget(length)
     on &= F.bit_count(diff) <= tau
     return asked.join(stored, on).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
@@ -149,55 +174,125 @@ def one_bit_links(fps: DataFrame) -> DataFrame:
     return asked.join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
 
 
-def similar_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """Of pairs (a, b, u, v) of text hashes and their groups, distinct (u, v) with shingle sets of at least this similarity.
+#: 64-bit words of a text's odd sketch.
+SKETCH = 16
+#: Rounds in which a bucket's texts meet one of them only.
+STARS = 3
+
+
+def prefix_keys(docs: DataFrame, rank: np.ndarray, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(key, text_hash, n, at): the rarest shingles of each text, as many as one of two similar sets must share one of.
 
-    texts: (text_hash, rep) names one row of docs for each text, so copies of a text are not read again.
+    Of a set of n shingles at least similarity * n are in a set that similar, so the first n - ceil(similarity * n) + 1 in any order
+    that all sets follow hold one they share. at: how many come before it. Copies within a task are given once.
     """
-    pairs = materialize(pairs.distinct(), "simhash-pairs")
-    needed = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct().join(texts.select("text_hash", "rep"), "text_hash").withColumnsRenamed({"text_hash": "__h"})
-    held = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    held = held.join(needed, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("__h")), "left_semi").select("h", "text").dropDuplicates(["h"])
-    held = materialize(held, "simhash-texts")
+    held = docs.sparkSession.sparkContext.broadcast(rank)  # 2 ** RARITY_BITS numbers
+
+    def batches(it):
+        rank, seen = held.value, set()
+        for b in it:
+            keys, texts, sizes, places = [], [], [], []
+            for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if h in seen:
+                    continue
+                seen.add(h)
+                x = ranked(shingles(t, width), rank)
+                n = len(x)
+                x = x[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+                keys.append(x), texts.append(np.full(len(x), h, np.int64)), sizes.append(np.full(len(x), n, np.int32)), places.append(np.arange(len(x), dtype=np.int32))
+            if keys:
+                flat = [np.concatenate(c) for c in (keys, texts, sizes, places)]
+                yield pa.RecordBatch.from_arrays([pa.array(flat[0].view(np.int64)), *map(pa.array, flat[1:])], names=["key", "text_hash", "n", "at"])
+
+    rows = docs.select(F.xxhash64(text_col).alias("text_hash"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    return rows.mapInArrow(batches, "key long, text_hash long, n int, at int")
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """(text_hash, held, sketch) of the texts of wanted (text_hash, rep), rep naming one row of docs for each.
+
+    held: the sorted hashes as bytes. sketch: bit h mod 64 * SKETCH is the parity of the shingles that fall on it, so two
+    sketches differ in no more bits than the sets in shingles.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi").select("h", "text").dropDuplicates(["h"])
+
+    def batches(it):
+        for b in it:
+            sets = [np.unique(shingles(t, width)) for t in b.column(1).to_pylist()]
+            bits = [np.packbits(np.bincount((x % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2 == 1, bitorder="little").view(np.int64) for x in sets]
+            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
+            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), flat)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), sketch], names=["text_hash", "held", "sketch"])
+
+    return rows.mapInArrow(batches, "text_hash long, held binary, sketch array<long>")
+
+
+def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Of pairs (a, b, u, v) of texts and their groups, distinct (u, v) with sets of at least this similarity."""
 
     def batches(it):
         for batch in it:
             us, vs = [], []
             for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = np.unique(shingles(a, width)), np.unique(shingles(b, width))
+                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                if both and both >= similarity * (len(x) + len(y) - both):
+                if both and both >= similarity * (len(x) + len(y) - both) - 1e-9:
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
-    wide = pairs.join(held.withColumnsRenamed({"h": "a", "text": "text_a"}), "a").join(held.withColumnsRenamed({"h": "b", "text": "text_b"}), "b")
-    return wide.select("u", "v", "text_a", "text_b").mapInArrow(batches, "u long, v long").distinct()
+    sets = sets.select("text_hash", "held")
+    wide = pairs.join(sets.withColumnsRenamed({"text_hash": "a", "held": "held_a"}), "a").join(sets.withColumnsRenamed({"text_hash": "b", "held": "held_b"}), "b")
+    return wide.select("u", "v", "held_a", "held_b").mapInArrow(batches, "u long, v long").distinct()
 
 
-def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
-    """grouped with groups united whose texts are at least this similar; candidates share a min-wise band.
+def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndarray, id_col: str, text_col: str, width: int, similarity: float) -> DataFrame:
+    """grouped with groups united whose texts are at least this similar. Exact: no link at this similarity is lost.
 
-    First each text of a bucket meets the bucket's least text only, which unites dense clusters at a cost linear in
-    their size; then every two texts of a bucket whose groups still differ meet. No bucket is capped.
+    Candidates share one of their rarest shingles (prefix_keys) with as many shingles before it as the difference of the two may
+    hold. In STARS rounds each text of a bucket meets only one of its bucket, which unites dense clusters at a cost linear in their
+    size: first the least text of all, then one that the key chooses. Then every two texts of a bucket whose groups still
+    differ meet, and only pairs whose sketches differ in no more bits than the sets may are held against each other whole.
     """
-    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands"))
-    texts = materialize(texts.join(grouped.select("fp", "group"), "fp"), "simhash-by-text")
-    cells = texts.select("text_hash", "n", "group", F.posexplode("bands").alias("band", "key"))
-    shared = cells.groupBy("band", "key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.min(F.struct("text_hash", "n", "group")).alias("least")).where("lo <> hi").select("band", "key", "least")
-    members = materialize(cells.join(shared, ["band", "key"]), "simhash-members")
-    fits = lambda n, m: (F.col(n) >= similarity * F.col(m)) & (F.col(m) >= similarity * F.col(n))
-    star = members.where((F.col("group") != F.col("least.group")) & fits("n", "least.n")).select(F.col("text_hash").alias("a"), F.col("least.text_hash").alias("b"), F.col("group").alias("u"), F.col("least.group").alias("v"))
-    for rest in (False, True):
-        pairs = star
-        if rest:
-            now = members.join(grouped.select("group", F.col("wide").alias("g")).distinct(), "group").select("band", "key", "text_hash", "n", "g")
-            other = now.withColumnsRenamed({"text_hash": "b", "n": "m", "g": "v"})
-            pairs = now.withColumnsRenamed({"text_hash": "a", "g": "u"}).join(other, ["band", "key"]).where((F.col("u") < F.col("v")) & fits("n", "m")).select("a", "b", "u", "v")
-            grouped = grouped.select("fp", "least", "rep", F.col("wide").alias("group"))
-        wide = connected_components(similar_links(docs, texts, pairs, id_col, text_col, width, similarity)).withColumnsRenamed({"node": "group", "root": "wide"})
-        grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", "group", F.coalesce("wide", "group").alias("wide")), "simhash-groups")
-    return grouped.select("fp", "least", "rep", F.col("wide").alias("group"))
+    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")).join(grouped.select("fp", "group"), "fp")
+    texts = materialize(texts.select("text_hash", "rep", F.col("group").alias("base")), "simhash-by-text")
+    bucket = Window.partitionBy("key")
+    keys = prefix_keys(docs, rank, text_col, width, similarity).withColumns({"lo": F.min("text_hash").over(bucket), "hi": F.max("text_hash").over(bucket)})
+    members = materialize(keys.where("lo <> hi").select("key", "text_hash", "n", "at").distinct(), "simhash-members")
+    label = texts.select("text_hash", "base", F.col("base").alias("group"))
+    wanted = members.join(label, "text_hash").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
+    members = materialize(members.join(wanted, "key"), "simhash-mixed")
+    sets = materialize(shingle_sets(docs, members.select("text_hash").distinct().join(texts.select("text_hash", "rep"), "text_hash"), id_col, text_col, width), "simhash-sets")
+    share = (1 - similarity) / (1 + similarity)
+
+    def may(n, m, at, other):
+        """Sizes and places at the first shared shingle allow the similarity."""
+        n, m = F.col(n), F.col(m)
+        return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9) & (F.col(at) + F.col(other) <= share * (n + m) + 1e-9)
+
+    for k in range(STARS + 1):
+        here = members.join(label.select("text_hash", "group"), "text_hash")
+        if k < STARS:
+            order = F.lit(0) if not k else F.xxhash64("key", "text_hash", F.lit(k))
+            least = F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket)
+            star = here.withColumn("c", least).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
+            pairs = star.where(may("n", "m", "at", "other"))
+        else:
+            mixed = here.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).where("lo <> hi").drop("lo", "hi")
+            mixed = mixed.join(sets.select("text_hash", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "text_hash")
+            mixed = materialize(mixed, "simhash-rest")
+            one = mixed.withColumnsRenamed({"text_hash": "a", "group": "u"})
+            two = mixed.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
+            differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0))
+            pairs = one.join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & (differ <= share * (F.col("n") + F.col("m")) + 1e-9))
+        found = materialize(similar_links(pairs.select("a", "b", "u", "v").distinct(), sets, similarity), f"simhash-links-{k}")
+        if found.isEmpty():
+            continue
+        wide = connected_components(found).withColumnsRenamed({"node": "group", "root": "wide"})
+        label = materialize(label.join(wide, "group", "left").select("text_hash", "base", F.coalesce("wide", "group").alias("group")), "simhash-labels")
+    moved = label.select(F.col("base").alias("group"), F.col("group").alias("wide")).distinct()
+    return materialize(grouped.join(moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, taus: Sequence[int] = (4,), chain: int = 2, similarity: float | None = None) -> DataFrame:
@@ -208,10 +303,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     itself included; equal fingerprints are linked. Null or empty texts have fingerprint 0 and form (or
     join) one component. Null doc_ids are members that never become component_id unless no other member has
     one (then it is null). similarity: texts whose sets of shingles are at least this similar (Jaccard) are linked
-    too, since 64 bits cannot be searched at the distances of 0.8; see complete(). rep_id, rep_hash name the row that stands for the component: ties on doc_id go to
-    the smaller text_hash. Repeated rows are repeated in the result. Other columns of docs are ignored.
+    too, since 64 bits cannot be searched at the distances of 0.8; see complete(). rep_id, rep_hash name the row that stands for
+    the component: ties on doc_id go to the smaller text_hash. Repeated rows are repeated in the result. Other columns of docs
+    are ignored, whatever their names.
     """
     rows = materialize(fingerprints(docs, id_col, text_col, width, similarity is not None), "simhash")
+    if similarity is not None:
+        rank = rarity(rows.where("tally is not null"))
+        rows = rows.where("tally is null").drop("tally")
     by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")), "simhash-fp")
     close = connected_components(one_bit_links(by_fp.select("fp")))
     grouped = materialize(by_fp.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rep", F.coalesce("root", "fp").alias("group")), "simhash-groups")
@@ -222,23 +321,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         wide = connected_components(far).withColumnRenamed("node", "group")
         grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", F.coalesce("root", "group").alias("group")), "simhash-groups")
     if similarity is not None:
-        grouped = complete(docs, rows, grouped, id_col, text_col, width, similarity)
+        grouped = complete(docs, rows, grouped, rank, id_col, text_col, width, similarity)
     best = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
     named = grouped.select("fp", "group").join(best, "group").select("fp", F.col("group").alias("root"), "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     return rows.join(materialize(named, "simhash-named"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs without near-duplicates: one row of each component stays, all columns as they are.
+    """The rows of docs without near-duplicates: one row of each component stays, all columns as they are, whatever their names.
 
-    Of rows that repeat the chosen doc_id and text, one stays.
+    Of rows that repeat the chosen doc_id and text, one stays. Null and empty texts are one component, of which one stays; a row
+    without doc_id stays only where its whole component has none. An empty table stays empty.
     """
-    chosen = near_duplicates(docs, id_col, text_col, **how)
-    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash")).distinct()
-    marked = docs.withColumn("__hash", F.xxhash64(text_col))
-    kept = marked.join(chosen, marked[id_col].cast("long").eqNullSafe(F.col("__kept_id")) & (F.col("__hash") == F.col("__kept_hash")), "left_semi")
-    first = Window.partitionBy(F.col(id_col).cast("long"), "__hash").orderBy("__hash")
-    return kept.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n", "__hash")
+    own, id_at, text_at = veiled(docs, id_col, text_col)
+    chosen = near_duplicates(own, id_at, text_at, **how)
+    chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    marked = own.withColumn("hash", F.xxhash64(text_at))
+    kept = marked.join(chosen, F.col(id_at).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    first = Window.partitionBy(F.col(id_at).cast("long"), "hash").orderBy("hash")
+    return unveiled(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), docs)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

@@ -152,12 +152,80 @@ def test_simhash_similarity(spark):
     assert far > 10 and got == root
 
 
-def test_bands_lose_no_pair_at_30_gb():
-    """22 pairs of 0.8 in 6,000 documents, carried to 15.1e6 documents by the square."""
-    assert 22 * (15.1e6 / 6000) ** 2 * (1 - 0.8**simhash.BAND_ROWS) ** simhash.BANDS < 1
-    h = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 3000, np.uint64))
-    least = np.array([((h ^ x) * m).min() for x, m in simhash._MIX], np.uint64).reshape(simhash.BANDS, -1)
-    assert simhash.band_keys(h) == [simhash._signed(simhash.xxhash.xxh64_intdigest(row.tobytes(), simhash.SEED)) for row in least]
+def test_one_bucket_of_many_texts(spark, monkeypatch):
+    """2,000 texts share one shingle, which comes first in everyone's order; the bucket's least text is like no other."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(5))
+    rows = []
+    for k in range(500):
+        base = [word() for _ in range(rng.choice((40, 90)))]
+        for c in range(4):
+            text = list(base)
+            for at in rng.sample(range(len(base)), c % 3):
+                text[at] = word()
+            rows.append((k * 4 + c, "one two three four five " + " ".join(text), "en", "s", 1))
+    hashes = {r[0]: r[0] for r in spark.createDataFrame(rows, "i long, t string, l string, s string, n long").select("i", F.xxhash64("t").alias("h")).orderBy("h").limit(1).collect()}
+    least = next(iter(hashes))
+    rows = [r if r[0] != least else r for r in rows if r[0] // 4 != least // 4 or r[0] == least]
+    common = simhash.shingles("one two three four five", 5)[0]
+
+    def first(tallies):
+        rank = np.roll(np.arange(1 << simhash.RARITY_BITS, dtype=np.uint64), int(common & simhash._LOW))
+        assert rank[int(common & simhash._LOW)] == 0
+        return rank
+
+    monkeypatch.setattr(simhash, "rarity", first)
+    sets = {r[0]: set(simhash.shingles(r[1], 5).tolist()) for r in rows}
+    holders = defaultdict(list)
+    for d, x in sets.items():
+        for h in x:
+            if h != int(common):
+                holders[h].append(d)
+    both = Counter((a, b) for ds in holders.values() for a in ds for b in ds if a < b)
+    fps = {r[0]: simhash.fingerprint(r[1], 5) & (2**64 - 1) for r in rows}
+    links = [(a, b) for (a, b), n in both.items() if (fps[a] ^ fps[b]).bit_count() <= 4 or n + 1 >= 0.8 * (len(sets[a]) + len(sets[b]) - n - 1)]
+    root = {d: d for d in sets}
+    for a, b in sorted(links) * 4:
+        root[a] = root[b] = min(root[a], root[b])
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows), width=5, similarity=0.8).collect()}
+    assert root[least] == least and got == root and 300 < len(set(root.values())) < len(rows)
+
+
+def test_the_order_of_rarity_holds_every_set(spark):
+    rank = np.random.default_rng(2).permutation(1 << simhash.RARITY_BITS).astype(np.uint64)
+    h = np.random.default_rng(1).integers(0, 1 << 63, 3000, np.uint64)
+    x, y = simhash.ranked(np.append(h, h[:9]), rank), simhash.ranked(h[:2000], rank)
+    assert len(x) == 3000 and len(y) == 2000 and np.isin(y, x).all() and (np.diff(x.astype(np.float64)) >= 0).all()
+    rows = simhash.fingerprints(frame(spark), width=5, tallied=True)
+    total = Counter(int(s & simhash._LOW) for r in awkward() for s in simhash.shingles(r[1], 5))
+    got = simhash.rarity(rows.where("tally is not null"))
+    want = np.bincount(list(total.elements()), minlength=len(got))
+    assert (np.diff(want[np.argsort(got)]) >= 0).all()
+
+
+def test_sketches_differ_no_more_than_sets(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice((3, 50, 400)))) for _ in range(12)]
+    df = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    wanted = df.select(F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("rep"))
+    rows = simhash.shingle_sets(df, wanted, "doc_id", "text", 5).collect()
+    sets = [(set(np.frombuffer(r.held, np.uint64).tolist()), r.sketch) for r in rows]
+    for x, p in sets:
+        for y, q in sets:
+            assert sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(p, q)) <= len(x ^ y)
+
+
+def test_clashing_names_stay(spark):
+    """Columns named like the operators' own stay as they are."""
+    names = ("hash", "nth", "kept_id", "c0", "c1", "c7", "__hash", "__n", "fp", "th", "__th", "__id", "__copy", "__times", "__doc_id", "tokens", "bad_id", "lang_pred", "__text")
+    df = frame(spark, None, names)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.count() == simhash.keep_one(frame(spark)).count()
+    bench = spark.createDataFrame([(1, awkward()[0][1])], "item_id long, text string")
+    assert decontam.remove(df, bench).columns == df.columns
+    mixed = mixing.mix(df, mixing.tree(), mixing.WEIGHTS)
+    assert mixed.columns == df.columns and mixed.count() == mixing.mix(frame(spark), mixing.tree(), mixing.WEIGHTS).count()
+    assert substring.dedup(df).count() == df.count()
 
 
 def test_simhash_awkward(spark):
