@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import LOWER, UPPER, benchmark, documents, lowered, materialize, with_document
+from .shared import LOWER, UPPER, benchmark, documents, lowered, materialize, unveiled, veiled, with_document
 
 WIDTH = 13
 RAREST = 2
@@ -137,9 +137,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The rows of docs that are not contaminated, all columns as they are."""
-    bad = contamination(docs, items, id_col, text_col, **how).where("contaminated").select(F.col("doc_id").alias("__bad_id"), F.col("th").alias("__bad_hash")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("__bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__bad_hash")), "left_anti")
+    """The rows of docs that are not contaminated, all columns as they are, whatever their names; null and empty texts stay."""
+    own, id_at, text_at = veiled(docs, id_col, text_col)
+    bad = contamination(own, items, id_at, text_at, **how).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("th").alias("bad_hash")).distinct()
+    clean = own.join(bad, F.col(id_at).cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text_at).cast("string")) == F.col("bad_hash")), "left_anti")
+    return unveiled(clean, docs)
 
 
 def op3_inverted_index(spark, sf_dir: str) -> DataFrame:

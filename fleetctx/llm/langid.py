@@ -9,7 +9,7 @@ above that of the language's own calibration texts is rejected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents
+from .shared import documents, unveiled, veiled
 from .tokens import blocks
 
 ORDER = 4
@@ -136,15 +136,16 @@ def build(counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int = ORDER)
     return m
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = 1500) -> Models:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_docs: int = 1500, most_langs: int = 256) -> Models:
     """Models of the languages of labelled rows.
 
-    Fitted on a bounded sample: of each language about sample_docs rows, chosen by a hash of key_col (all
-    where there are fewer); one in eight of them is not counted but calibrates the rejection. Rows with a
-    null text or language teach nothing. n-grams of the sample alone reach the driver.
+    Fitted on a bounded sample: of each of the most_langs languages with the most rows (ties by name) about sample_docs rows,
+    chosen by a hash of key_col (all where there are fewer); one in eight of them is not counted but calibrates the rejection.
+    Rows with a null text or language teach nothing; an empty table gives models of no language. n-grams of the sample alone
+    reach the driver, so the models are bounded by sample_docs times most_langs texts, whatever the labels hold.
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit(""))), 1) / F.lit(float(1 << 63))).alias("u"))
-    sizes = rows.groupBy("lang").count()
+    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most_langs)
     sample = rows.join(F.broadcast(sizes), "lang").where(F.col("u") * F.col("count") < sample_docs)  # one row a language
     sample = sample.select("lang", "text", (F.col("u") * F.col("count") * 8 / F.least("count", F.lit(sample_docs)) >= 7).alias("held"))
 
@@ -184,16 +185,19 @@ def classify(docs: DataFrame, models: Models, text_col: str = "text", carry: lis
     """The columns in carry with lang_pred, score and rejected, for each row.
 
     und with score 0, rejected, where a text is null or has no letter or no language was learned; ties go
-    to the first language by name. score is the winner's share of the likelihoods of 40 characters.
+    to the first language by name. score is the winner's share of the likelihoods of 40 characters. Repeated rows get the same
+    result each. carry may hold any names but lang_pred, score, rejected and own_text; see veiled() for rows with those.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((models, symbol_table()))
+    plain = tuple(getattr(models, f.name) for f in fields(Models))  # lists and arrays alone: executors need no copy of this package
+    held = spark.sparkContext.broadcast((plain, symbol_table()))
     carry = carry or []
-    rows = docs.select(*carry, F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(*carry, F.col(text_col).cast("string").alias("own_text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]), "lang_pred string", "score double", "rejected boolean"])
 
     def label(it):
-        models, table = held.value
+        plain, table = held.value
+        models = Models(*plain)
         for b in it:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             pred, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -211,6 +215,12 @@ def classify(docs: DataFrame, models: Models, text_col: str = "text", carry: lis
     return rows.mapInArrow(label, schema)
 
 
+def accepted(docs: DataFrame, models: Models, text_col: str = "text") -> DataFrame:
+    """The rows of docs that classify() does not reject, all columns as they are, whatever their names."""
+    own, text_at = veiled(docs, text_col)
+    return unveiled(classify(own, models, text_at, own.columns).where("not rejected"), docs)
+
+
 def held_out(doc_id) -> Column:
     """crc32 of doc_id as text, modulo 4, is 2; a null doc_id is an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WS_CLASS, documents, materialize
+from .shared import WS_CLASS, documents, materialize, unveiled
 
 NONE = "(none)"
 
@@ -83,14 +83,19 @@ def select(docs: DataFrame, tree: Mapping[str, Column], weights: Mapping[str, Ma
 
 
 def mix(docs: DataFrame, tree: Mapping[str, Column], weights: Mapping[str, Mapping[str, float]], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs dealt to the weights: each row as often as epochs take it, whole, all columns as they are."""
+    """docs dealt to the weights: each row as often as epochs take it, whole, all columns as they are, whatever their names.
+
+    Nulls in doc_id, text or a level are values like others; an empty table stays empty.
+    """
     levels = list(tree)
-    taken = select(docs, tree, weights, id_col=id_col, text_col=text_col, **how)
-    taken = taken.groupBy("doc_id", "th", *levels).agg(F.count(F.lit(1)).cast("int").alias("__times")).withColumnsRenamed({k: f"__{k}" for k in ["doc_id", "th", *levels]})
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("__doc_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__th"))
-    for k, c in tree.items():
-        on &= F.coalesce(c.cast("string"), F.lit(NONE)) == F.col(f"__{k}")
-    return docs.join(taken, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    keys = {"id": F.col(id_col).cast("long"), "th": F.xxhash64(F.col(text_col).cast("string"))} | {f"level{k}": F.coalesce(c.cast("string"), F.lit(NONE)) for k, c in enumerate(tree.values())}
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], *[c.alias(k) for k, c in keys.items()])
+    taken = select(docs, tree, weights, id_col=id_col, text_col=text_col, **how).groupBy("doc_id", "th", *levels).agg(F.count(F.lit(1)).cast("int").alias("times"))
+    taken = taken.toDF(*[f"taken_{k}" for k in keys], "times")
+    on = F.col("id").eqNullSafe(F.col("taken_id"))
+    for k in list(keys)[1:]:
+        on &= F.col(k) == F.col(f"taken_{k}")
+    return unveiled(own.join(taken, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))), docs)
 
 
 #: Production parameters for documents: sources of one digit are the web, the others curated.

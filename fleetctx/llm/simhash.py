@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, documents, materialize, unveiled, veiled
+from .shared import connected_components, discard, documents, materialize, unveiled, veiled
 
 SEED = 42
 
@@ -176,8 +176,10 @@ def one_bit_links(fps: DataFrame) -> DataFrame:
 
 #: 64-bit words of a text's odd sketch.
 SKETCH = 16
-#: Rounds in which a bucket's texts meet one of them only.
+#: How many of its bucket each text meets before all that are still apart do.
 STARS = 3
+#: Flags by the low bits of a text's hash.
+FILTER_BITS = 22
 
 
 def prefix_keys(docs: DataFrame, rank: np.ndarray, text_col: str, width: int, similarity: float) -> DataFrame:
@@ -208,24 +210,42 @@ def prefix_keys(docs: DataFrame, rank: np.ndarray, text_col: str, width: int, si
     return rows.mapInArrow(batches, "key long, text_hash long, n int, at int")
 
 
+def _bits(hashes: DataFrame) -> np.ndarray:
+    """2 ** FILTER_BITS flags, set at the low bits of each value of a frame of one long column."""
+
+    def add(it):
+        flags = np.zeros(1 << FILTER_BITS, bool)
+        for b in it:
+            flags[b.column(0).to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()])], names=["flags"])
+
+    parts = hashes.repartition(TALLY_PARTS).mapInArrow(add, "flags binary").collect()  # TALLY_PARTS arrays, whatever the input
+    return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r.flags, np.uint8) for r in parts])).astype(bool)
+
+
 def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(text_hash, held, sketch) of the texts of wanted (text_hash, rep), rep naming one row of docs for each.
 
     held: the sorted hashes as bytes. sketch: bit h mod 64 * SKETCH is the parity of the shingles that fall on it, so two
-    sketches differ in no more bits than the sets in shingles.
+    sketches differ in no more bits than the sets in shingles. Flags of fixed size spare most other texts the shingling.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi").select("h", "text").dropDuplicates(["h"])
+    flags = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("text_hash")))  # 2 ** FILTER_BITS flags
 
     def batches(it):
         for b in it:
-            sets = [np.unique(shingles(t, width)) for t in b.column(1).to_pylist()]
-            bits = [np.packbits(np.bincount((x % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2 == 1, bitorder="little").view(np.int64) for x in sets]
-            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in sets], pa.binary()), sketch], names=["text_hash", "held", "sketch"])
+            maybe = flags.value[b.column(1).to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)]
+            b = b.filter(pa.array(maybe))
+            for k in range(0, len(b), 500):
+                part = b.slice(k, 500)
+                sets = [np.unique(shingles(t, width)) for t in part.column(2).to_pylist()]
+                bits = [np.packbits(np.bincount((x % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2 == 1, bitorder="little").view(np.int64) for x in sets]
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), sketch], names=["id", "h", "held", "sketch"])
 
-    return rows.mapInArrow(batches, "text_hash long, held binary, sketch array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(batches, "id long, h long, held binary, sketch array<long>")
+    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    return rows.groupBy(F.col("h").alias("text_hash")).agg(F.first("held").alias("held"), F.first("sketch").alias("sketch"))
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -251,39 +271,41 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
     """grouped with groups united whose texts are at least this similar. Exact: no link at this similarity is lost.
 
     Candidates share one of their rarest shingles (prefix_keys) with as many shingles before it as the difference of the two may
-    hold. In STARS rounds each text of a bucket meets only one of its bucket, which unites dense clusters at a cost linear in their
-    size: first the least text of all, then one that the key chooses. Then every two texts of a bucket whose groups still
-    differ meet, and only pairs whose sketches differ in no more bits than the sets may are held against each other whole.
+    hold. First each text of a bucket meets STARS of its bucket only: the least of all, and such as the key chooses. That
+    unites dense clusters at a cost linear in their size. Then every two texts of a bucket whose groups still differ meet, and only
+    pairs whose sketches differ in no more bits than the sets may are held against each other whole.
     """
+    share = (1 - similarity) / (1 + similarity)
     texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")).join(grouped.select("fp", "group"), "fp")
     texts = materialize(texts.select("text_hash", "rep", F.col("group").alias("base")), "simhash-by-text")
-    bucket = Window.partitionBy("key")
-    keys = prefix_keys(docs, rank, text_col, width, similarity).withColumns({"lo": F.min("text_hash").over(bucket), "hi": F.max("text_hash").over(bucket)})
-    members = materialize(keys.where("lo <> hi").select("key", "text_hash", "n", "at").distinct(), "simhash-members")
     label = texts.select("text_hash", "base", F.col("base").alias("group"))
-    wanted = members.join(label, "text_hash").groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("key")
-    members = materialize(members.join(wanted, "key"), "simhash-mixed")
-    sets = materialize(shingle_sets(docs, members.select("text_hash").distinct().join(texts.select("text_hash", "rep"), "text_hash"), id_col, text_col, width), "simhash-sets")
-    share = (1 - similarity) / (1 + similarity)
+    bucket = Window.partitionBy("key")
 
     def may(n, m, at, other):
         """Sizes and places at the first shared shingle allow the similarity."""
         n, m = F.col(n), F.col(m)
         return (n >= similarity * m - 1e-9) & (m >= similarity * n - 1e-9) & (F.col(at) + F.col(other) <= share * (n + m) + 1e-9)
 
-    for k in range(STARS + 1):
-        here = members.join(label.select("text_hash", "group"), "text_hash")
-        if k < STARS:
-            order = F.lit(0) if not k else F.xxhash64("key", "text_hash", F.lit(k))
-            least = F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket)
-            star = here.withColumn("c", least).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
+    def mixed(cells, by):
+        """The cells of buckets of several values of a column."""
+        return cells.withColumns({"lo": F.min(by).over(bucket), "hi": F.max(by).over(bucket)}).where("lo <> hi").drop("lo", "hi")
+
+    keys = mixed(prefix_keys(docs, rank, text_col, width, similarity), "text_hash").withColumn("before", F.min("at").over(bucket))
+    keys = keys.where(F.col("at") + F.col("before") <= share * (1 + 1 / similarity) * F.col("n") + 1e-9).drop("before")  # may() with the least place and the largest size
+    members = materialize(keys.distinct(), "simhash-members")
+    here = materialize(mixed(members.join(label.select("text_hash", "group"), "text_hash"), "group"), "simhash-mixed")
+    sets = materialize(shingle_sets(docs, here.select("text_hash").distinct().join(texts.select("text_hash", "rep"), "text_hash"), id_col, text_col, width), "simhash-sets")
+    for k in range(2):
+        if not k:
+            orders = [F.lit(0) if not j else F.xxhash64("key", "text_hash", F.lit(j)) for j in range(STARS)]
+            stars = [F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket) for order in orders]
+            star = here.withColumn("stars", F.array(*stars)).withColumn("c", F.explode("stars")).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
             pairs = star.where(may("n", "m", "at", "other"))
         else:
-            mixed = here.withColumns({"lo": F.min("group").over(bucket), "hi": F.max("group").over(bucket)}).where("lo <> hi").drop("lo", "hi")
-            mixed = mixed.join(sets.select("text_hash", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "text_hash")
-            mixed = materialize(mixed, "simhash-rest")
-            one = mixed.withColumnsRenamed({"text_hash": "a", "group": "u"})
-            two = mixed.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
+            rest = mixed(here.drop("group").join(label.select("text_hash", "group"), "text_hash"), "group")
+            rest = materialize(rest.join(sets.select("text_hash", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "text_hash"), "simhash-rest")
+            one = rest.withColumnsRenamed({"text_hash": "a", "group": "u"})
+            two = rest.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
             differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0))
             pairs = one.join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & (differ <= share * (F.col("n") + F.col("m")) + 1e-9))
         found = materialize(similar_links(pairs.select("a", "b", "u", "v").distinct(), sets, similarity), f"simhash-links-{k}")
@@ -292,7 +314,10 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
         wide = connected_components(found).withColumnsRenamed({"node": "group", "root": "wide"})
         label = materialize(label.join(wide, "group", "left").select("text_hash", "base", F.coalesce("wide", "group").alias("group")), "simhash-labels")
     moved = label.select(F.col("base").alias("group"), F.col("group").alias("wide")).distinct()
-    return materialize(grouped.join(moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
+    out = materialize(grouped.join(moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
+    for done in (members, here, sets, rest):
+        discard(done)
+    return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, taus: Sequence[int] = (4,), chain: int = 2, similarity: float | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ doc_id, so a reader of a few documents skips stripes by metadata, and readers sp
 
 The tokenizer's byte-level BPE never joins across its pre-tokens, and a space always opens one, so a text
 without runs of white space around a space is encoded piece by piece (' word'), each distinct piece once.
-Other texts go to the library whole.
+Other texts go to the library whole, and so do those that hold one of the tokenizer's added tokens, which the library finds first.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model_json)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids of tokens that begin with a space
         self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -92,7 +92,7 @@ class Encoder:
             self.clear()
         pieces: list[str] = []
         counts: list[int] = []
-        whole = {k for k, t in enumerate(texts) if "\0" in t}
+        whole = {k for k, t in enumerate(texts) if "\0" in t or any(x in t for x in self.added)}
         for k, text in enumerate(texts):
             parts = text.split(" ") if text and k not in whole else []
             if parts:
@@ -141,8 +141,9 @@ def blocks(texts: list[str], most: int = 2_000_000):
 def write_ids(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, stripe_bytes: int = 16 << 20) -> None:
     """Write (doc_id, ids, part, part_start) as ORC at path, rows in ascending doc_id order.
 
-    part: number of the file in that order; part_start: ids before the row in its file. A null text has the
-    end id alone; null doc_ids come first; rows that share a doc_id stay next to each other.
+    part: number of the file in that order; part_start: ids before the row in its file. A null or empty text has the
+    end id alone; null doc_ids come first; rows that share a doc_id follow in the order of their texts' hashes, then texts, so
+    that repeated rows stay next to each other. An empty table gives files without rows. Other columns are ignored.
     """
     with open(model_path, encoding="utf-8") as f:
         model_json = f.read()
@@ -169,8 +170,8 @@ def write_ids(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id
                 at += int(ends[-1])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), ids, pa.array(np.full(j - i, part, np.int32)), pa.array(starts)], names=["doc_id", "ids", "part", "part_start"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"))
+    ordered = rows.repartitionByRange("doc_id", "th").sortWithinPartitions("doc_id", "th", "text")
     out = ordered.mapInArrow(encode, "doc_id long, ids array<int>, part int, part_start long")
     out.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option("orc.row.index.stride", "1000").option("orc.stripe.size", str(stripe_bytes)).orc(path)
 

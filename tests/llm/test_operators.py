@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -436,14 +437,13 @@ def test_sharding_follows_weights(spark):
 
 # 7. token ids
 
-MODEL = "/opt/tokenizers/byte_bpe_50k.json"
+MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def reference_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(MODEL)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids for x in texts]
 
 
@@ -478,6 +478,37 @@ def test_token_files(spark):
     assert tokens.digest(spark, empty).count() == 0
 
 
+def test_special_tokens_are_the_library_s(spark):
+    texts = ["one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>", "<|endoftext", "plain  words <|endoftext|> \n"]
+    path = shared.new_path(spark, "tokens")
+    tokens.write_ids(frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)]), path, MODEL)
+    got = {r.doc_id: r.ids for r in tokens.read_ids(spark, path).collect()}
+    assert [got[k] for k in range(len(texts))] == [[*x, 0] for x in reference_ids(texts)]
+    assert len(got[1]) == 2
+
+
+def test_token_files_hold_indexes_that_lookups_use(spark):
+    path = shared.new_path(spark, "tokens")
+    df = spark.range(0, 40000, 2).select(F.col("id").alias("doc_id"), F.lit("a few words").alias("text"))
+    tokens.write_ids(df, path, MODEL)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = spark.read.orc(path).inputFiles()
+    reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(files[0]), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+    footer = reader.rows().readStripeFooter(reader.getStripes()[0]).toString()
+    assert "ROW_INDEX" in footer and "BLOOM_FILTER_UTF8" in footer and "DIRECT_V2" in footer and reader.getRowIndexStride() == 1000
+
+    def scanned(ids):
+        rows = tokens.read_ids(spark, path, ids)
+        found = rows.collect()
+        plan = rows._jdf.queryExecution().executedPlan()
+        return found, plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    found, n = scanned([20000])
+    assert [r.doc_id for r in found] == [20000] and n <= 4096  # row groups that hold it, not 20,000 rows
+    found, n = scanned([20001])  # inside the range of a row group, but not in its Bloom filter
+    assert not found and n == 0
+
+
 # 8. mixing
 
 
@@ -528,6 +559,43 @@ def test_kneser_ney_probabilities_sum_to_one():
         assert abs(p.sum() - 1) < 1e-3
 
 
+def brute_kneser_ney(texts, order):
+    """p(character, context) of interpolated Kneser-Ney by its formula, over Counters of strings."""
+    top = Counter(x[k - order + 1 : k + 1] for t in texts for x in [" " * (order - 1) + t] for k in range(order - 1, len(x)))
+    levels = [top]
+    for k in range(order - 1, 0, -1):
+        levels.insert(0, Counter(g[1:] for g in levels[0]))
+    alphabet = len({g[-1] for g in top}) + 1  # one for all characters never seen
+
+    def p(c, context, k):
+        if not k:
+            return 1 / alphabet
+        own = levels[k - 1]
+        ones, twos = sum(n == 1 for n in own.values()), sum(n == 2 for n in own.values())
+        d = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = {g: n for g, n in own.items() if g[:-1] == context}
+        lower = p(c, context[1:], k - 1)
+        if not after:
+            return lower
+        n = own.get(context + c, 0)
+        return (max(n - d, 0) + d * len(after) * lower) / sum(after.values())
+
+    return p
+
+
+def test_kneser_ney_equals_its_formula():
+    table = langid.symbol_table()
+    texts = [" banana bandana cabana an ban", " a cab and a band", " nab"]
+    models = langid.build({"x": np.unique(langid.grams(*langid.symbols([t[1:] for t in texts], table)), return_counts=True)})
+    p = brute_kneser_ney(texts, langid.ORDER)
+    contexts = {t[k : k + 3] for t in texts for k in range(len(t) - 2)} | {"zzz", "  b", "ana", "czb"}
+    for context in contexts:
+        for c in "abcdnz ":
+            packed = sum(ord(x) << 16 * (3 - k) for k, x in enumerate(context + c))
+            got = float(np.exp(models.score(np.array([packed], np.uint64)))[0, 0])
+            assert abs(got - p(c, context, langid.ORDER)) < 1e-5, (context, c)
+
+
 def test_symbols_of_texts():
     table = langid.symbol_table()
     sym, starts = langid.symbols(["Ab  1c", "", "É"], table)
