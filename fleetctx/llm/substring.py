@@ -9,6 +9,8 @@ strings have equal anchors at equal offsets, so starts are sharded by anchor and
 4. places go back to their documents, and covered bytes are cut.
 An anchor with very many different segments is cut into pieces of a few starts, sharded by anchor, piece and
 the bytes common to the piece's strings, so that copies of one passage meet as equal pieces and not in one task.
+Where even such a key has very many different pieces (the edges of a passage in very many surroundings), their single
+starts are counted by 128-bit hashes, which no key gathers.
 """
 
 from __future__ import annotations
@@ -178,33 +180,60 @@ def _pieces(segments: DataFrame, length: int, piece: int) -> DataFrame:
     return segments.select("seg", "h", "back", "n", "times", "body").mapInPandas(cut, "h long, seg binary, n long, times long, body binary, parent binary, at long")
 
 
+def _starts(pieces: DataFrame, length: int) -> DataFrame:
+    """Of pieces (seg, h, n, times, body), runs of the starts whose string occurs twice or more, by the strings' hashes."""
+
+    def hashes(it):
+        for b in it:
+            rows = []
+            for seg, h, n, times, body in zip(*(c.to_pylist() for c in b.columns)):
+                rows += [(seg, k, times, xxhash.xxh3_128_digest(body[k : k + length] + b"%d" % h)) for k in range(n)]
+            yield _batch(rows, [("seg", pa.binary()), ("k", pa.int64()), ("times", pa.int64()), ("s", pa.binary())])
+
+    each = pieces.select("seg", "h", "n", "times", "body").mapInArrow(hashes, "seg binary, k long, times long, s binary")
+    each = materialize(each, "starts")
+    twice = materialize(each.groupBy("s").agg(F.sum("times").alias("found")).where("found > 1").select("s"), "repeated-starts")
+    return each.join(twice, "s").groupBy("seg").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("z"))).alias("runs"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, th, spans): for each document that has any, its repeated starts as runs [a, z) of byte offsets.
 
-    Rows that share doc_id and text are different places with the same result.
+    Rows that share doc_id and text are different places with the same result. Null and empty texts repeat nothing; an empty table
+    gives no row.
     """
     rows = _rows(docs, id_col, text_col)
     found = materialize(find_anchors(rows, length, gram), "anchors")
-    twice = found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated-anchors")  # written, so that a hot anchor's join can be split
     spots = found.join(twice, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "anchor", "first", "n")).alias("spots"))
     places = materialize(cut_segments(with_document(rows, spots).select("doc_id", "th", "text", "spots"), length), "segments")
     distinct = places.groupBy("seg").agg(F.count(F.lit(1)).alias("times"), F.first("h").alias("h"), F.first("back").alias("back"), F.first("n").alias("n"), F.first("body").alias("body"))
     distinct = materialize(distinct, "different-segments")
-    kinds = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("body")).alias("held"))
-    several = kinds.where("kinds > 1")
+
+    def kinds(segments, label):
+        """(h, held) of the keys of several different segments."""
+        return materialize(segments.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum(F.length("body")).alias("held")).where("kinds > 1").select("h", "held"), label)
+
+    def back(cut, runs):
+        """Runs of the segments that were cut, from those of their pieces."""
+        moved = cut.select("seg", "parent", "at").join(runs, "seg").select(F.col("parent").alias("seg"), F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["z"] + F.col("at")).alias("z"))).alias("runs"))
+        return moved.groupBy("seg").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+    every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("z")))
+    several = kinds(distinct, "anchor-kinds")
     mixed = distinct.join(several, "h")
-    common = mixed.where(F.col("held") <= shard_bytes)
-    runs = _match(common, length, shard_bytes)
-    large = several.where(F.col("held") > shard_bytes)
-    if not large.isEmpty():
+    runs = _match(mixed.where(F.col("held") <= shard_bytes), length, shard_bytes)
+    if not several.where(F.col("held") > shard_bytes).isEmpty():
         cut = materialize(_pieces(mixed.where(F.col("held") > shard_bytes), length, PIECE), "pieces")
         part = cut.groupBy("seg").agg(F.sum("times").alias("times"), F.first("h").alias("h"), F.first("n").alias("n"), F.first("body").alias("body"))
         part = materialize(part, "different-pieces")
-        every = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("z")))
-        pieces = _match(part.join(part.groupBy("h").count().where("count > 1"), "h"), length, shard_bytes).unionByName(part.where("times > 1").select("seg", every.alias("runs")))
-        back = cut.select("seg", "parent", "at").join(pieces, "seg").select(F.col("parent").alias("seg"), F.transform("runs", lambda r: F.struct((r["a"] + F.col("at")).alias("a"), (r["z"] + F.col("at")).alias("z"))).alias("runs"))
-        runs = runs.unionByName(back.groupBy("seg").agg(F.flatten(F.collect_list("runs")).alias("runs")))
-    whole = distinct.where("times > 1").select("seg", F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("n").alias("z"))).alias("runs"))
+        met = part.join(kinds(part, "piece-kinds"), "h")
+        pieces = _match(met.where(F.col("held") <= shard_bytes), length, shard_bytes).unionByName(part.where("times > 1").select("seg", every.alias("runs")))
+        hot = met.where(F.col("held") > shard_bytes)
+        if not hot.isEmpty():
+            pieces = pieces.unionByName(_starts(hot, length))
+        runs = runs.unionByName(back(cut, pieces))
+    whole = distinct.where("times > 1").select("seg", every.alias("runs"))
     # A segment found twice repeats as a whole; it is among the runs as well where its anchor has others.
     hit = materialize(whole.unionByName(runs.join(whole.select("seg"), "seg", "left_anti")), "repeated-runs")
     spans = places.select("seg", "doc_id", "th", "first").join(hit, "seg")

