@@ -102,7 +102,7 @@ def rarity(tallies: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["tally"])
 
     parts = tallies.select("tally").repartition(TALLY_PARTS).mapInArrow(add, "tally binary").collect()  # TALLY_PARTS arrays, whatever the input
-    total = np.sum([np.frombuffer(r.tally, np.int64) for r in parts], axis=0)
+    total = np.sum([np.zeros(1 << RARITY_BITS, np.int64), *(np.frombuffer(r.tally, np.int64) for r in parts)], axis=0)
     rank = np.empty(len(total), np.uint64)
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
     return rank
@@ -220,14 +220,22 @@ def _bits(hashes: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(flags).tobytes()])], names=["flags"])
 
     parts = hashes.repartition(TALLY_PARTS).mapInArrow(add, "flags binary").collect()  # TALLY_PARTS arrays, whatever the input
-    return np.unpackbits(np.bitwise_or.reduce([np.frombuffer(r.flags, np.uint8) for r in parts])).astype(bool)
+    none = np.zeros((1 << FILTER_BITS) // 8, np.uint8)  # an empty frame may have no part
+    return np.unpackbits(np.bitwise_or.reduce([none, *(np.frombuffer(r.flags, np.uint8) for r in parts)])).astype(bool)
 
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(text_hash, held, sketch) of the texts of wanted (text_hash, rep), rep naming one row of docs for each.
+def sketch(h: np.ndarray) -> np.ndarray:
+    """SKETCH words of bits: bit x mod 64 * SKETCH is the parity of the hashes x of a set that fall on it.
 
-    held: the sorted hashes as bytes. sketch: bit h mod 64 * SKETCH is the parity of the shingles that fall on it, so two
-    sketches differ in no more bits than the sets in shingles. Flags of fixed size spare most other texts the shingling.
+    Two sketches differ in no more bits than the sets in elements.
+    """
+    return np.packbits(np.bincount((h % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2 == 1, bitorder="little").view(np.int64)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, whole: bool) -> DataFrame:
+    """(text_hash, held) or (text_hash, sketch) of the texts of wanted (text_hash, rep), rep naming one row of docs for each.
+
+    held: the sorted hashes of the set as bytes (whole). Flags of fixed size spare most other texts the shingling.
     """
     flags = docs.sparkSession.sparkContext.broadcast(_bits(wanted.select("text_hash")))  # 2 ** FILTER_BITS flags
 
@@ -238,14 +246,16 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
             for k in range(0, len(b), 500):
                 part = b.slice(k, 500)
                 sets = [np.unique(shingles(t, width)) for t in part.column(2).to_pylist()]
-                bits = [np.packbits(np.bincount((x % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) % 2 == 1, bitorder="little").view(np.int64) for x in sets]
-                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate(bits)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([x.tobytes() for x in sets], pa.binary()), sketch], names=["id", "h", "held", "sketch"])
+                if whole:
+                    found = pa.array([x.tobytes() for x in sets], pa.binary())
+                else:
+                    found = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SKETCH), pa.array(np.concatenate([sketch(x) for x in sets])))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), found], names=["id", "h", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
-    rows = rows.mapInArrow(batches, "id long, h long, held binary, sketch array<long>")
+    rows = rows.mapInArrow(batches, "id long, h long, found " + ("binary" if whole else "array<long>"))
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi")
-    return rows.groupBy(F.col("h").alias("text_hash")).agg(F.first("held").alias("held"), F.first("sketch").alias("sketch"))
+    return rows.select(F.col("h").alias("text_hash"), F.col("found").alias("held" if whole else "sketch")).dropDuplicates(["text_hash"])
 
 
 def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -294,28 +304,38 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
     keys = keys.where(F.col("at") + F.col("before") <= share * (1 + 1 / similarity) * F.col("n") + 1e-9).drop("before")  # may() with the least place and the largest size
     members = materialize(keys.distinct(), "simhash-members")
     here = materialize(mixed(members.join(label.select("text_hash", "group"), "text_hash"), "group"), "simhash-mixed")
-    sets = materialize(shingle_sets(docs, here.select("text_hash").distinct().join(texts.select("text_hash", "rep"), "text_hash"), id_col, text_col, width), "simhash-sets")
+    discard(members)
+    rep = texts.select("text_hash", "rep")
+    sketches = materialize(shingle_sets(docs, here.select("text_hash").distinct().join(rep, "text_hash"), id_col, text_col, width, False), "simhash-sketches")
+    words = lambda p: [F.col("sketch")[i].alias(f"{p}{i}") for i in range(SKETCH)]
+    near = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0)) <= share * (F.col("n") + F.col("m")) + 1e-9
     for k in range(2):
         if not k:
             orders = [F.lit(0) if not j else F.xxhash64("key", "text_hash", F.lit(j)) for j in range(STARS)]
             stars = [F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket) for order in orders]
             star = here.withColumn("stars", F.array(*stars)).withColumn("c", F.explode("stars")).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
-            pairs = star.where(may("n", "m", "at", "other"))
+            star = star.where(may("n", "m", "at", "other")).select("a", "b", "u", "v", "n", "m").distinct()
+            pairs = star.join(sketches.select(F.col("text_hash").alias("a"), *words("s")), "a").join(sketches.select(F.col("text_hash").alias("b"), *words("t")), "b").where(near)
         else:
             rest = mixed(here.drop("group").join(label.select("text_hash", "group"), "text_hash"), "group")
-            rest = materialize(rest.join(sets.select("text_hash", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)]), "text_hash"), "simhash-rest")
+            rest = materialize(rest.join(sketches.select("text_hash", *words("s")), "text_hash"), "simhash-rest")
             one = rest.withColumnsRenamed({"text_hash": "a", "group": "u"})
             two = rest.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
-            differ = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0))
-            pairs = one.join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & (differ <= share * (F.col("n") + F.col("m")) + 1e-9))
-        found = materialize(similar_links(pairs.select("a", "b", "u", "v").distinct(), sets, similarity), f"simhash-links-{k}")
+            pairs = one.join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & near)
+        pairs = materialize(pairs.select("a", "b", "u", "v").distinct(), f"simhash-pairs-{k}")
+        if pairs.isEmpty():
+            continue
+        asked = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
+        sets = materialize(shingle_sets(docs, asked.join(rep, "text_hash"), id_col, text_col, width, True), "simhash-sets")
+        found = materialize(similar_links(pairs, sets, similarity), f"simhash-links-{k}")
+        discard(sets)
         if found.isEmpty():
             continue
         wide = connected_components(found).withColumnsRenamed({"node": "group", "root": "wide"})
         label = materialize(label.join(wide, "group", "left").select("text_hash", "base", F.coalesce("wide", "group").alias("group")), "simhash-labels")
     moved = label.select(F.col("base").alias("group"), F.col("group").alias("wide")).distinct()
     out = materialize(grouped.join(moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
-    for done in (members, here, sets, rest):
+    for done in (here, sketches, rest):
         discard(done)
     return out
 

@@ -209,8 +209,9 @@ def test_sketches_differ_no_more_than_sets(spark):
     texts = [" ".join(rng.choice("abcd") for _ in range(rng.choice((3, 50, 400)))) for _ in range(12)]
     df = frame(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
     wanted = df.select(F.xxhash64("text").alias("text_hash"), F.col("doc_id").alias("rep"))
-    rows = simhash.shingle_sets(df, wanted, "doc_id", "text", 5).collect()
-    sets = [(set(np.frombuffer(r.held, np.uint64).tolist()), r.sketch) for r in rows]
+    held, sketches = ({r[0]: r[1] for r in simhash.shingle_sets(df, wanted, "doc_id", "text", 5, w).collect()} for w in (True, False))
+    sets = [(set(np.frombuffer(held[h], np.uint64).tolist()), sketches[h]) for h in held]
+    assert len(held) == len(sketches) == len({r.text_hash for r in wanted.collect()})
     for x, p in sets:
         for y, q in sets:
             assert sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(p, q)) <= len(x ^ y)
