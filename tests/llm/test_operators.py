@@ -63,16 +63,80 @@ def test_pii_luhn():
 
 def test_pii_linear_on_long_runs():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 100_000, "+1" + "(" * 300_000, "0" * 5000 + ".1.1.1"):
-        pii.base_spans(t), pii.shaped_spans(t, [])
+        pii.base_spans(t), pii.mentions_of(t)
+    assert len(pii.mentions_of("1234567 x 12:3 " * 30_000)) == 30_001
+
+
+def brute_bootstrap(found, least_conf=0.8, least_values=5, class_share=0.01):
+    """Spans by document of the graph's rounds, over the mentions of each document, in plain loops."""
+    kind_of, klass = {}, {}
+    for ms in found.values():
+        for m in ms:
+            for p in m["patterns"]:
+                key = (p, m["value"], m["class"])
+                kind_of[key] = max(kind_of.get(key, -1), m["kind"])
+            klass[m["value"]] = m["class"]
+    values = defaultdict(set)
+    for p, v, _ in kind_of:
+        values[p].add(v)
+    seeds = {(k, v, c) for (p, v, c), k in kind_of.items() if k >= 0}
+    shown = Counter((k, c) for k, _, c in seeds)
+    classes = {(k, c) for (k, c), n in shown.items() if n >= class_share * sum(m for (j, _), m in shown.items() if j == k)}
+    values = {p: vs for p, vs in values.items() if len(vs) >= least_values}
+    edges = {key: k for key, k in kind_of.items() if key[0] in values}
+    sure = {(k, v): 10**6 for (p, v, c), k in edges.items() if k >= 0}
+    conf = sure
+    before = None
+    while True:
+        scores = {}
+        for p, vs in values.items():
+            for kind in range(4):
+                held = [conf[kind, v] for v in vs if (kind, v) in conf]
+                if len(held) >= least_values:
+                    scores[p, kind] = (10 * sum(held) // (10 * len(vs) + 27), len(held))
+        if scores == before:
+            break
+        before = scores
+        more = defaultdict(int)
+        for (p, v, c), k in edges.items():
+            for kind in range(4):
+                if k < 0 and (kind, c) in classes and scores.get((p, kind), (0,))[0] >= least_conf * 10**6:
+                    more[kind, v] = max(more[kind, v], scores[p, kind][0])
+        conf = {**more, **sure} if not set(more) & set(sure) else None
+    out = {}
+    for doc, ms in found.items():
+        spans = []
+        for m in ms:
+            if m["kind"] >= 0:
+                spans.append((m["kind"], m["start"], m["end"]))
+                continue
+            best = [(*scores[p, k], -k) for p in m["patterns"] for k in range(4) if (k, m["class"]) in classes and scores.get((p, k), (0,))[0] >= least_conf * 10**6]
+            if best:
+                spans.append((-max(best)[2], m["start"], m["end"]))
+        out[doc] = sorted(spans)
+    return out
 
 
 def test_pii_contexts_find_unseen_identifiers(spark):
-    texts = [f"please reach me: user{i}@mail.example.com today" for i in range(9)]
-    texts += ["please reach me: bob (at) example (dot) com today", "order 555 1234 567 came in on a monday"]
+    """Planted contexts, against the rounds in plain loops; second-order contexts come through values that the first round found."""
+    rng = random.Random(3)
+    filler = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    texts = [f"{filler(4)} please reach me: user{i}@mail.example.com today {filler(3)}" for i in range(30)]
+    texts += ["so please reach me: bob (at) example (dot) com today again"]  # 30: spelled out
+    texts += [f"{filler(3)} call us on +1 (988) 555-{2000 + i} or write {filler(2)}" for i in range(200)]
+    texts += [f"just call us on 5{10 + i} 1234 56{i % 10} or write" for i in range(20)]  # 231: no +, digits as the seeds have
+    texts += [f"a fax number 5{10 + i} 1234 56{i % 10} here" for i in range(20)]  # 251: another context of the same values
+    texts += ["a fax number 770 4321 880 here"]  # 271: reached through those values
+    texts += ["order 555 1234 567 came in on a monday", "call us on monday or write", "room 12 of 3 on floor 7", ""]
     out = {r.doc_id: r for r in pii.extract(frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
-    assert not out[9].base and [tuple(s) for s in out[9].spans] == [(0, 17, 43)]
-    assert not out[10].spans
-    assert all(len(out[i].spans) == 1 and out[i].base == out[i].spans for i in range(9))
+    want = brute_bootstrap({i: pii.mentions_of(t) for i, t in enumerate(texts)})
+    assert {i: [tuple(s) for s in r.spans] for i, r in out.items()} == want
+    found = lambda i: [(pii.KINDS[k], texts[i][a:z]) for k, a, z in want[i]]
+    assert found(30) == [("email", "bob (at) example (dot) com")] and not out[30].base
+    assert all(found(k) == [("phone", f"5{k - 221} 1234 56{(k - 231) % 10}")] and not out[k].base for k in range(231, 251))
+    assert found(271) == [("phone", "770 4321 880")]
+    assert not any(want[k] for k in range(272, 276))
+    assert all(out[i].base == out[i].spans for i in range(30))
 
 
 def test_pii_awkward(spark):
