@@ -20,8 +20,9 @@ WIDTH = 13
 RAREST = 2
 #: Fixed value: the ASCII characters that part words, as a Java regex; A-Z are lowered word by word.
 PARTING = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
-#: Broadcast bounds: bytes of benchmark text, and keys of candidate documents. Beyond them joins shuffle.
+#: Broadcast bounds: bytes of benchmark text, bytes of its different terms, and keys of candidate documents. Beyond them joins shuffle.
 BROADCAST_TEXT = 4 << 20
+BROADCAST_TERMS = 32 << 20
 BROADCAST_KEYS = 200_000
 
 
@@ -60,35 +61,44 @@ class Index:
         words = F.transform(F.filter(_parts(F.col("text")), lambda x: x != ""), lowered)
         self.items = materialize(item.select("item_id", F.xxhash64("item_id", "text").alias("item"), words.alias("words")).where(F.size("words") > 0), "items")
         terms = self.items.select("item", F.posexplode("words").alias("ipos", "term"))
+        vocabulary = materialize(terms.select("term").distinct(), "item-terms")
+        held = vocabulary.agg(F.sum(F.octet_length("term") + 32)).first()[0] or 0
+        self.near_terms = F.broadcast if held <= BROADCAST_TERMS else (lambda df: df)
         corpus = corpus_terms(docs, id_col, text_col)
-        counts = materialize(corpus.join(self.near(terms.select("term").distinct()), "term").groupBy("term").count(), "term-counts")
+        counts = materialize(corpus.join(self.near_terms(vocabulary), "term").groupBy("term").count(), "term-counts")
         n, span = F.size("words"), F.least(F.size("words"), F.lit(width))
         starts = self.items.select("item", span.alias("len"), F.explode(F.sequence(F.lit(0), n - span)).alias("s"))
-        inside = starts.join(terms, "item").where("ipos >= s and ipos < s + len").join(counts, "term", "left").select("item", "s", "len", "term", "ipos", F.coalesce("count", F.lit(0)).alias("cf"))
+        places = starts.select("item", "s", "len", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("ipos"))
+        inside = places.join(terms, ["item", "ipos"]).join(counts, "term", "left").select("item", "s", "len", "term", "ipos", F.coalesce("count", F.lit(0)).alias("cf"))
         ranked = inside.groupBy("item", "s", "len", "term").agg(F.min("ipos").alias("ipos"), F.min("cf").alias("cf"))
         lists = F.sort_array(F.collect_list(F.struct("cf", "term", "ipos")))
         chosen = ranked.groupBy("item", "s", "len").agg(F.slice(lists, 1, rarest).alias("sel")).where("sel[0].cf > 0")  # a term that never occurs rules its windows out
         self.windows = materialize(chosen, "item-windows")
         self.sought = self.windows.select("item", F.explode("sel").alias("x")).select("item", F.col("x.term").alias("term"), F.col("x.ipos").alias("ipos")).distinct()
-        held = corpus.join(self.near(self.sought.select("term").distinct()), "term")
+        held = corpus.join(self.near_terms(self.sought.select("term").distinct()), "term")
         self.postings = materialize(held.groupBy("term", "doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("positions")), "postings")
 
     def _diagonals(self) -> DataFrame:
-        """(doc_id, th, item, diag, windows): windows all of whose rarest terms lie on the diagonal."""
+        """(doc_id, th, item, diag, windows): windows all of whose rarest terms lie on the diagonal.
+
+        A place asks for the few windows that chose it, so a long item costs what its matches cost.
+        """
         met = self.postings.join(self.near(self.sought), "term").select("doc_id", "th", "item", "ipos", F.explode("positions").alias("pos"))
         found = met.groupBy("doc_id", "th", "item", (F.col("pos") - F.col("ipos")).alias("diag")).agg(F.collect_set("ipos").alias("got"))
-        by_item = self.windows.groupBy("item").agg(F.collect_list(F.struct("s", "len", F.transform("sel", lambda x: x["ipos"]).alias("need"))).alias("windows"))
-        full = lambda w: (F.col("diag") + w["s"] >= 0) & F.forall(w["need"], lambda p: F.array_contains("got", p))
-        left = found.join(self.near(by_item), "item").select("doc_id", "th", "item", "diag", F.filter("windows", full).alias("windows"))
-        return left.where(F.size("windows") > 0).select("doc_id", "th", "item", "diag", F.transform("windows", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("windows"))
+        need = self.windows.select("item", "s", "len", F.size("sel").alias("need"), F.explode(F.transform("sel", lambda x: x["ipos"])).alias("ipos"))
+        fewest = self.windows.groupBy("item").agg(F.min(F.size("sel")).alias("fewest"))
+        left = found.join(self.near(fewest), "item").where(F.size("got") >= F.col("fewest")).select("doc_id", "th", "item", "diag", F.explode("got").alias("ipos"))
+        whole = left.join(self.near(need), ["item", "ipos"]).where("diag + s >= 0").groupBy("doc_id", "th", "item", "diag", "s", "len", "need").agg(F.count(F.lit(1)).alias("n")).where("n = need")
+        return whole.groupBy("doc_id", "th", "item", "diag").agg(F.collect_list(F.struct("s", "len")).alias("windows"))
 
     def phrases(self) -> DataFrame:
-        """(doc_id, th, item_id, start, len): every exact occurrence of a window."""
+        """(doc_id, th, item_id, start, len): every exact occurrence of a window; repeated rows of docs give theirs once."""
         found = materialize(self._diagonals().groupBy("doc_id", "th").agg(F.collect_list(F.struct("item", "diag", "windows")).alias("cands")), "candidates")
-        docs = _keyed(self.docs, self.id_col, self.text_col)
-        if found.count() <= BROADCAST_KEYS:
-            docs = with_document(docs, F.broadcast(found.select("doc_id", "th")), "left_semi")
-        docs = docs.dropDuplicates(["doc_id", "th"])
+        text = F.col(self.text_col).cast("string")
+        docs = self.docs.select(F.col(self.id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        keys = found.select("doc_id", "th")
+        docs = with_document(docs, F.broadcast(keys) if found.count() <= BROADCAST_KEYS else keys, "left_semi").dropDuplicates(["doc_id", "th"])
+        docs = docs.select("doc_id", "th", _parts(F.col("text")).alias("parts"))
         rows = with_document(docs, found).select("doc_id", "th", "parts", F.explode("cands").alias("c"))
         low, high = F.array_min("c.windows.s"), F.array_max(F.transform("c.windows", lambda w: w["s"] + w["len"]))
         cut = F.slice("parts", _lead(F.col("parts")) + F.col("c.diag") + low + 1, high - low)
@@ -102,6 +112,7 @@ class Index:
         """(doc_id, th, item_id, s, len): windows whose rarest terms all occur near their places, order free within slop.
 
         Each of the other rarest terms lies within slop words of where the first one puts it; s is the window's start in the item.
+        Null and empty texts match nothing; repeated rows give theirs once.
         """
         want = self.windows.select("item", "s", "len", F.col("sel")[0].alias("a"), F.explode("sel").alias("b"))
         want = want.select("item", "s", "len", F.col("a.term").alias("a_term"), F.col("b.term").alias("term"), (F.col("b.ipos") - F.col("a.ipos")).alias("gap"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -366,6 +367,18 @@ def test_decontamination_proximity(spark):
     assert tuples(index.proximity(3), "doc_id", "item_id") == [(1, "1"), (2, "1")]
 
 
+def test_a_long_item_costs_what_it_matches(spark):
+    """20,000 words in one item, a third of them in a document: windows meet by place, not each with each."""
+    rng = random.Random(14)
+    words = ["w%d" % rng.randint(0, 3000) for _ in range(20_000)]
+    docs = [(1, " ".join(["x"] * 10 + words[500:7000] + ["y"] * 5), "en", "s", 1), (2, "w1 w2 w3", "en", "s", 1)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    began = time.time()
+    got = decontam.contamination(frame(spark, docs), bench).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_hit, r.contaminated) for r in got] == [(6515, 6500, True), (3, 0, False)]
+    assert time.time() - began < 120
+
+
 # 4. lines
 
 
