@@ -52,27 +52,34 @@ def project_from_path(path: Column, explicit: Column | None = None) -> Column:
 
 
 def payload_object(payload: Column, *keys: str) -> Column:
-    """Some fields of a payload as a struct of text, parsed once; null where it is not a whole JSON object.
+    """Some fields of a payload as a struct of JSON values, parsed once; null where it is not a whole JSON object.
 
-    A string that spells a number, true or false reads like one. The parse counts as not deterministic, so that
-    the optimizer neither copies it into every use nor pushes filters on its fields below it: plans stay small.
+    The parse counts as not deterministic, so that the optimizer neither copies it into every use nor pushes filters on its
+    fields below it: plans stay small.
     """
-    parsed = F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` string" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
+    parsed = F.from_json(F.coalesce(payload, F.lit("{}")), ", ".join([*(f"`{k}` variant" for k in keys), "__broken string"]), {"columnNameOfCorruptRecord": "__broken"})
     return F.when(F.monotonically_increasing_id() >= 0, parsed)
 
 
 def fields(v: str, *keys: str) -> list[Column]:
-    """Columns <key>_text of a column made by payload_object. Select that column first, so it is parsed once."""
-    return [F.when(F.col(f"{v}.__broken").isNull(), F.col(f"{v}.{k}")).alias(f"{k}_text") for k in keys]
+    """Columns <key>_text and <key>_type of a column made by payload_object. Select that column first, so it is parsed once."""
+    whole = F.col(f"{v}.__broken").isNull()
+    return [c for k in keys for c in (F.when(whole, F.try_variant_get(F.col(f"{v}.{k}"), "$", "string")).alias(f"{k}_text"), F.when(whole, F.schema_of_variant(F.col(f"{v}.{k}"))).alias(f"{k}_type"))]
 
 
 def as_text(key: str) -> Column:
     return F.col(f"{key}_text")
 
 
+def _is_string(key: str) -> Column:
+    return F.coalesce(F.col(f"{key}_type") == "STRING", F.lit(False))
+
+
 def truthy(key: str) -> Column:
-    """Whether the field is there and not empty, zero, false or null."""
-    return F.coalesce(~as_text(key).isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    """Whether the field is there and not empty, zero, false or null; a string counts by its length, whatever it spells."""
+    text = as_text(key)
+    number = F.coalesce(text.try_cast("double") != 0, ~text.isin("false", "[]", "{}"))
+    return F.coalesce(F.when(_is_string(key), text != "").otherwise(number), F.lit(False))
 
 
 def text_or(key: str, default: Column, n: int) -> Column:
@@ -80,9 +87,16 @@ def text_or(key: str, default: Column, n: int) -> Column:
 
 
 def as_long(key: str) -> Column:
-    """A whole number: fractions are cut, true is 1; else null."""
+    """A whole number: fractions of JSON numbers are cut, true is 1, a string must spell a whole number; else null."""
+    text = F.trim(as_text(key))
+    plain = F.when(text == "true", 1).when(text == "false", 0).otherwise(F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long")))
+    return F.when(_is_string(key), F.when(text.rlike(r"^[+-]?[0-9]+$"), text.try_cast("long"))).otherwise(plain).cast("long")
+
+
+def too_long(key: str) -> Column:
+    """Whether the field is a whole number that 64 bits do not hold."""
     text = F.trim(as_text(key))
-    return F.when(text == "true", 1).when(text == "false", 0).otherwise(F.coalesce(text.try_cast("long"), text.try_cast("double").try_cast("long"))).cast("long")
+    return F.coalesce(text.rlike(r"^[+-]?[0-9]{19,}$") & text.try_cast("long").isNull(), F.lit(False))
 
 
 def error_flag(response: Column) -> Column:

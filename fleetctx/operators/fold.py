@@ -7,15 +7,19 @@ the same query with another bound on id.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DEFAULT, as_long, as_text, capped, fields, payload_object, text_or, truthy
+from ..functions.scalars import DEFAULT, as_long, as_text, capped, fields, payload_object, text_or, too_long, truthy
 
 PLAN_STATUS = {"plan.claim": "claimed", "plan.done": "done", "plan.block": "blocked"}
 PLAN_KINDS = ["plan.open", *PLAN_STATUS]
 DECISION_KINDS = ["decision.make", "decision.supersede"]
 SESSION_KINDS = ["session.start", "session.end"]
+#: Fields that hold whole numbers; an event with one beyond 64 bits is a dead letter: counted, skipped, and the fold goes on.
+NUMBERS = frozenset(("node", "node_id", "root_id", "decision", "decision_id", "target", "scope_root"))
 KINDS = [*PLAN_KINDS, *DECISION_KINDS, "claim.assert", *SESSION_KINDS]
 
 
@@ -25,7 +29,9 @@ def _log(events: DataFrame, kinds: list[str], upto: int | None, *keys: str) -> D
     if upto is not None:
         rows = rows.where(F.col("id") <= upto)
     rows = rows.select("id", "ts", "kind", "actor", F.coalesce("project", F.lit(DEFAULT)).alias("project"), payload_object(F.col("payload"), *keys).alias("v"))
-    return rows.select("id", "ts", "kind", "actor", "project", *fields("v", *keys))
+    rows = rows.select("id", "ts", "kind", "actor", "project", *fields("v", *keys))
+    numbers = [too_long(k) for k in keys if k in NUMBERS]
+    return rows.withColumn("dead", reduce(lambda a, b: a | b, numbers, F.lit(False)))
 
 
 def _guarded(rows: DataFrame) -> DataFrame:
@@ -53,7 +59,7 @@ def plan_rows(events: DataFrame, upto: int | None = None) -> DataFrame:
     named = F.when(truthy("owner"), as_text("owner"))
     owner = F.when(is_open | (F.col("kind") == "plan.claim"), F.coalesce(named, F.col("actor"))).otherwise(named)
     return _guarded(
-        _log(events, PLAN_KINDS, upto, "node", "node_id", "root_id", "kind", "title", "status", "owner", "origin", "shared").select(
+        _log(events, PLAN_KINDS, upto, "node", "node_id", "root_id", "kind", "title", "status", "owner", "origin", "shared").where("not dead").select(
             "id",
             "kind",
             "project",
@@ -79,7 +85,7 @@ def decision_rows(events: DataFrame, upto: int | None = None) -> DataFrame:
     made = F.coalesce(F.when(F.coalesce(as_text("decision_id"), F.lit("")) != "", as_long("decision_id")), F.col("id"))
     aimed = F.when(truthy("decision"), as_long("decision")).when(truthy("decision_id"), as_long("decision_id")).otherwise(as_long("target"))
     return _guarded(
-        _log(events, DECISION_KINDS, upto, "decision", "decision_id", "target", "scope_root", "subject", "choice", "rationale", "binds", "status", "origin", "shared").select(
+        _log(events, DECISION_KINDS, upto, "decision", "decision_id", "target", "scope_root", "subject", "choice", "rationale", "binds", "status", "origin", "shared").where("not dead").select(
             "id",
             "kind",
             "project",
@@ -97,10 +103,15 @@ def decision(events: DataFrame, upto: int | None = None) -> DataFrame:
     return state.select(F.col("target").alias("id"), "o.scope_root", "o.subject", "o.choice", "o.rationale", "o.binds", "status", "project", "o.origin", "o.shared")
 
 
-def claim(events: DataFrame, upto: int | None = None) -> DataFrame:
-    """Claims, as CLAIM; keyed by the event that asserted them (id repeats it)."""
+def claim(events: DataFrame, upto: int | None = None, block: int = 4096) -> DataFrame:
+    """Claims, as CLAIM; keyed by the event that asserted them. id counts them in the order of the log, in blocks of event ids."""
     rows = _log(events, ["claim.assert"], upto, "subject", "predicate", "body", "confidence", "status", "source")
-    return rows.select(F.col("id"), text_or("subject", F.lit(""), 200).alias("subject"), text_or("predicate", F.lit(""), 120).alias("predicate"), text_or("body", F.lit(""), 1000).alias("body"), as_text("confidence").try_cast("double").alias("confidence"), text_or("status", F.lit("asserted"), 40).alias("status"), text_or("source", F.col("actor"), 200).alias("source"), "project", F.col("id").alias("asserted_by"))
+    rows = rows.select(F.col("id").alias("asserted_by"), text_or("subject", F.lit(""), 200).alias("subject"), text_or("predicate", F.lit(""), 120).alias("predicate"), text_or("body", F.lit(""), 1000).alias("body"), as_text("confidence").try_cast("double").alias("confidence"), text_or("status", F.lit("asserted"), 40).alias("status"), text_or("source", F.col("actor"), 200).alias("source"), "project", F.floor(F.col("id") / block).alias("block"))
+    totals = rows.groupBy("block").agg(F.count(F.lit(1)).alias("held"))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    totals = totals.select("block", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("block").orderBy("asserted_by"))
+    return rows.withColumn("rank", rank).join(totals, "block").select((F.col("offset") + F.col("rank")).alias("id"), "subject", "predicate", "body", "confidence", "status", "source", "project", "asserted_by")
 
 
 def awareness(events: DataFrame, heartbeats: DataFrame | None = None, upto: int | None = None) -> DataFrame:
@@ -135,7 +146,15 @@ def tallies(events: DataFrame, upto: int | None = None, after: int = 0) -> DataF
     guarded = both.agg(F.count_if(took & (F.col("what") == "plan_node")).alias("plan_node"), F.count_if(took & (F.col("what") == "decision")).alias("decision"), F.count_if(F.col("target").isNull()).alias("no_target"), F.count_if("refused").alias("cross_tenant"))
     rows = events.where(F.col("id") > after) if upto is None else events.where((F.col("id") > after) & (F.col("id") <= upto))
     plain = rows.agg(F.count(F.lit(1)).alias("events"), F.count_if(F.col("kind") == "claim.assert").alias("claim"), F.count_if(F.col("kind").isin(SESSION_KINDS)).alias("awareness"), F.count_if(~F.coalesce(F.col("kind").isin(KINDS), F.lit(False))).alias("unknown"), F.coalesce(F.max("id"), F.lit(after)).alias("last_event_id"))
-    return plain.join(guarded).select("events", "plan_node", "decision", "claim", "awareness", (F.col("no_target") + F.col("unknown")).alias("skipped"), "cross_tenant", F.lit(0).cast("long").alias("dead_letter"), "last_event_id")
+    dead = dead_letters(events, upto).where(F.col("id") > after).agg(F.count(F.lit(1)).alias("dead_letter"))
+    return plain.join(guarded).join(dead).select("events", "plan_node", "decision", "claim", "awareness", (F.col("no_target") + F.col("unknown") + F.col("dead_letter")).alias("skipped"), "cross_tenant", "dead_letter", "last_event_id")  # one row each
+
+
+def dead_letters(events: DataFrame, upto: int | None = None) -> DataFrame:
+    """(id, kind) of the events that no projection can hold; failures of the store or the cluster are not among them, they fail the job."""
+    plan = _log(events, PLAN_KINDS, upto, "node", "node_id", "root_id")
+    decided = _log(events, DECISION_KINDS, upto, "decision", "decision_id", "target", "scope_root")
+    return plan.where("dead").select("id", "kind").unionByName(decided.where("dead").select("id", "kind"))
 
 
 def snapshot(events: DataFrame, upto: int | None = None) -> dict[str, DataFrame]:
