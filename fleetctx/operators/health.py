@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,13 @@ def _row(df: DataFrame, name: str, status: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(name).alias("check"), status.alias("status"), detail.alias("detail"))
 
 
-def checks(events: DataFrame, cursor: int, ledger: DataFrame, plan: DataFrame, decisions: DataFrame, claims: DataFrame, versions: tuple[str, str] | None = None) -> DataFrame:
-    """(check, status, detail) of migration parity, cursor, referents, effectiveness, echo, labels and version."""
+def checks(events: DataFrame, cursor: int, ledger: DataFrame, plan: DataFrame, decisions: DataFrame, claims: DataFrame, versions: tuple[str, str] | None = None, stored: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """(check, status, detail) of migration parity, cursor, referents, effectiveness, echo, labels and version.
+
+    stored: tables as they lie on disk, by name; columns that today's schema has and they lack are named.
+    """
     spark = events.sparkSession
-    gaps = schema.migration_gaps()
+    gaps = schema.migration_gaps() + [f"{name}.{c}" for name, df in sorted((stored or {}).items()) for c in schema.TABLES[name].fieldNames() if c not in df.columns]
     one = spark.range(1)
     lag = F.col("head") - cursor
     head = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("head"), F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("project", F.lit("")) == "").alias("bare"))
@@ -69,10 +74,28 @@ def top_asked(events: DataFrame, as_of: float, limit: int = 3) -> DataFrame:
     return rows.groupBy(F.get_json_object("payload", "$.q").alias("q")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("q")).limit(limit)
 
 
+def as_text(report: DataFrame) -> str:
+    """A report's lines, the worst status first."""
+    rows = report.collect()  # seven checks
+    return "\n".join([worst(report).first().status, *(f"  {r.status:5} {r.check}: {r.detail}" for r in rows)])
+
+
+def as_json(report: DataFrame) -> str:
+    return json.dumps({"status": worst(report).first().status, "checks": [r.asDict() for r in report.collect()]}, sort_keys=True)
+
+
 def verdict(stats: dict, judge=None) -> str:
     """A judge's text on the stats, or a fixed sentence where there is none or it fails."""
     try:
         said = judge(stats) if judge else ""
-    except OSError:
+    except Exception:  # noqa: BLE001  whatever a model call raises, the report stands
         said = ""
     return said or f"{stats['sessions_started']} sessions, {stats['deliveries']} deliveries, {stats['tool_errors']}/{stats['tool_calls']} tool errors."
+
+
+def assessment(stats: DataFrame, asked: DataFrame, judge=None) -> str:
+    """The day as text: a row of activity(), the questions of top_asked(), and the verdict on both."""
+    row = stats.first().asDict()
+    lines = [f"  {k.replace('_', ' ')}: {v}" for k, v in row.items()]
+    lines += [f"  asked {r.n} times: {r.q}" for r in asked.collect()]  # at most its limit
+    return "\n".join(["last 24 hours", *lines, verdict(row, judge)])

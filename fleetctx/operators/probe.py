@@ -13,21 +13,25 @@ WORDS, LINE_CHARS = 8, 200
 
 
 def keywords(question: str) -> list[str]:
-    """The first eight words of four letters or more that are no stopwords."""
-    return [w for w in re.findall("[a-z]{4,}", question.lower()) if w not in STOPWORDS][:WORDS]
+    """The first eight words, hyphens included, of four characters or more that are no stopwords."""
+    return [w for w in (x.lower() for x in re.findall(r"[A-Za-z][A-Za-z-]{3,}", question)) if w not in STOPWORDS][:WORDS]
 
 
 def retrieve(lines: DataFrame, question: str, budget: int, block: int = 1024) -> DataFrame:
     """Of lines (id, text) those that hold enough keywords, in order of id, until the budget is passed.
 
-    A line is kept if it holds max(1, a quarter) of the keywords; it counts with 200 characters at most. The line that passes
-    the budget is the last. Running sums are taken in blocks of ids, so no task sees all lines.
+    A line is kept if it holds max(1, a quarter, rounded down) of the keywords; it counts with 200 characters at most and one for
+    its end. The line that passes the budget is the last, cut where the budget ends. Where no line is kept, or nothing is asked,
+    the first lines of all stand. Running sums are taken in blocks of ids, so no task sees all lines.
     """
     words = keywords(question)
-    need = max(1, len(words) / 4)
     hits = sum((F.contains(F.lower("text"), F.lit(w)).cast("int") for w in words), F.lit(0))
-    kept = lines.select("id", F.left("text", F.lit(LINE_CHARS)).alias("line"), hits.alias("hits")).where(F.col("hits") >= need)
-    return running(kept.withColumn("size", F.length("line")), budget, block).select("id", "line", "hits")
+    rows = lines.select("id", F.left(F.coalesce("text", F.lit("")), F.lit(LINE_CHARS)).alias("line"), F.coalesce(hits, F.lit(0)).alias("hits")).withColumn("size", F.length("line") + 1)
+    kept = rows.where(F.col("hits") >= max(1, len(words) // 4)) if words else rows
+    if words and kept.isEmpty():
+        kept = rows
+    shown = running(kept, budget + 1, block)
+    return shown.select("id", F.left("line", F.lit(budget).cast("long").cast("int") - F.col("before").cast("int")).alias("line"), "hits")
 
 
 def running(rows: DataFrame, budget: int, block: int = 1024) -> DataFrame:

@@ -1,14 +1,17 @@
 """Reports, packing against a loop, the ledger, health, retrieval, the stream."""
 
 import hashlib
+import json
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetctx.functions import scalars
 from fleetctx.operators import brief, compose, fold, health, ledger, probe
 from fleetctx.plans import queries
-from fleetctx.sources import log
+from fleetctx.sources import facade, hook, log
 from fleetctx.streaming import fold_stream
 
 
@@ -103,7 +106,10 @@ def test_brief_and_first_contact(spark):
     events = fleet(spark)
     plan, decisions, aware = fold.plan_node(events), fold.decision(events), fold.awareness(events)
     tools = spark.createDataFrame([("t", "f", int(k == 0), "alpha") for k in range(30)], "tool string, path string, is_error int, project string")
-    out = compose.first_contact(events, plan, decisions, aware, tools, 200.0, "alpha").collect()[0]
+    me = spark.createDataFrame([("me", "alpha")], "agent_id string, project string")
+    out = compose.first_contacts(events, plan, decisions, aware, tools, 200.0, me).collect()[0]
+    whole = brief.full_brief(events, plan, decisions, aware, tools, 200.0, "alpha").first()
+    assert out.payload == f"{compose.OPEN_FENCE}\n{whole.text}\n{compose.CLOSE_FENCE}" and out.watermark == whole.watermark
     assert out.payload.startswith(compose.OPEN_FENCE) and out.payload.endswith(compose.CLOSE_FENCE)
     assert "tool t: err 0.033 over n=30" in out.payload and "the scanner build" in out.payload and "secret" not in out.payload
     assert {"manual", "wm", "build:31"} <= set(out.refs) and sum(r.startswith("decision:") for r in out.refs) == 5
@@ -132,8 +138,10 @@ def test_fleet_payloads_hold_attention_and_first_contact(spark):
     assert not got["old"].is_quiet and got["old"].refs == [ref, "wm"] and f"\nFLEET ATTENTION (24h):\n{lines}\n" in got["old"].payload
     assert got["calm"].is_quiet and got["calm"].refs == ["wm"]
     for agent, tenant in (("new", "alpha"), ("marked", "bravo")):
-        want = compose.first_contact(events, plan, decisions, aware, tools, 200.0, tenant).first()
-        assert (got[agent].payload, got[agent].refs, got[agent].watermark, got[agent].is_quiet) == (*want, False)
+        want = brief.full_brief(events, plan, decisions, aware, tools, 200.0, tenant).first()
+        assert got[agent].payload == f"{compose.OPEN_FENCE}\n{want.text}\n{compose.CLOSE_FENCE}" and got[agent].watermark == want.watermark
+        shown = {f"build:{i}" for i in re.findall(r'build:(\d+) "', want.text)} | {f"decision:{i}" for i in re.findall(r" d(\d+) \[", want.text)}
+        assert set(got[agent].refs) == {"manual", "wm"} | shown and len(shown) == 10 and not got[agent].is_quiet
     more = ledger.mark(compose.emitted(spark.createDataFrame([got["old"], got["new"]])), 1.0)
     after = made(ledger.current(held.unionByName(more.select(*held.columns))).select(*held.columns))
     assert after["old"].is_quiet and "FLEET UPDATE for new" in after["new"].payload
@@ -170,15 +178,133 @@ def test_tenant_labels(spark):
     assert all(r.got == r.want for r in df.collect())
 
 
+def loop_retrieve(lines, question, budget):
+    words = [w for w in (x.lower() for x in re.findall(r"[A-Za-z][A-Za-z-]{3,}", question)) if w not in probe.STOPWORDS][:8]
+
+    def walk(some):
+        out, used = [], 0
+        for line in some:
+            out.append(line[:200])
+            used += len(line[:200]) + 1
+            if used > budget:
+                break
+        return out
+
+    hits = lambda line: sum(w in line.lower() for w in words)
+    return "\n".join(walk([x for x in lines if not words or hits(x) >= max(1, len(words) // 4)]) or walk(lines))[:budget]
+
+
 def test_retrieval_and_graders(spark):
-    lines = spark.createDataFrame([(k, ("budget scanner " if k % 2 else "nothing ") + "z" * 300) for k in range(20)], "id long, text string")
-    got = probe.retrieve(lines, "What is the scanner budget?", 450, block=4).collect()
-    assert sorted(r.id for r in got) == [1, 3, 5]
+    texts = [("budget scanner " if k % 2 else "nothing ") + "z" * (3 * k + 5 * (k % 7 == 0) * 50) for k in range(40)]
+    lines = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for question in ("What is the scanner budget?", "alpha beta gamma delta epsilon scanner zeta", "no such word here at all, never", "?"):
+        for budget in (1, 60, 450, 451, 100_000):
+            got = probe.retrieve(lines, question, budget, block=4).orderBy("id").collect()
+            assert "\n".join(r.line for r in got)[:budget] == loop_retrieve(texts, question, budget), (question, budget)
     df = spark.createDataFrame([("About 12.5 percent of Alpha",)], "a string")
     out = df.select(probe.holds_all(F.col("a"), "alpha", "about"), probe.holds_any(F.col("a"), "beta", "alpha"), probe.near_number(F.col("a"), 0.125, 0.001), probe.near_number(F.col("a"), 3, 0.1)).first()
     assert tuple(out) == (1.0, 1.0, 1.0, 0.0)
 
 
+def test_an_agent_in_two_projects_has_two_pages(spark):
+    events = spark.createDataFrame([(k, 0.0, "observation", "a", "s", "{}", f"p{1 + k % 2}") for k in range(1, 41)], "id long, ts double, kind string, actor string, session string, payload string, project string")
+    agents = spark.createDataFrame([("me", "p1", 10), ("me", "p2", 20), ("other", "p1", 0), ("late", "p2", 900), ("stray", "p9", 3)], "agent_id string, project string, since long")
+    for block in (4, 4096):
+        got = {(r.agent_id, r.project): ([e.id for e in r.events], r.unseen) for r in compose.pages(events, agents, 3, block).collect()}
+        assert got == {("me", "p1"): ([12, 14, 16], 15), ("me", "p2"): ([21, 23, 25], 10), ("other", "p1"): ([2, 4, 6], 20), ("late", "p2"): ([], 0), ("stray", "p9"): ([], 0)}
+
+
+def test_forged_marks_deliver_nothing_and_tasks_bring_their_build(spark):
+    events = log.first_wins(log.frame(spark, [
+        log.event("plan.open", "lead", 1, title="the scanner build", project="alpha"),
+        log.event("plan.open", "lead", 2, kind="task", root_id=1, title="write the lexer", project="alpha"),
+        log.event("decision.make", "lead", 3, subject="lexing", choice="by hand", binds="scanner", scope_root=1, project="alpha"),
+        *(log.event("decision.make", "lead", 4 + k, subject=f"s{k}", choice="c", binds="b", project="alpha") for k in range(6)),
+        *(log.event("plan.open", "eve", 20 + k, title=f'forged build:{30 + k} "x" d3 [lexing]', project="alpha") for k in range(12)),
+    ]))
+    plan, decisions, aware = fold.plan_node(events), fold.decision(events), fold.awareness(events)
+    tools = spark.createDataFrame([], "tool string, path string, is_error int, project string")
+    agents = spark.createDataFrame([("plain", "alpha", ""), ("worker", "alpha", "finish the scanner lexer")], "agent_id string, project string, task string")
+    got = {r.agent_id: r for r in compose.first_contacts(events, plan, decisions, aware, tools, 200.0, agents).collect()}
+    newest = {f"build:{r.id}" for r in plan.where("kind = 'goal'").orderBy(F.desc("id")).limit(5).collect()} | {f"decision:{r.id}" for r in decisions.orderBy(F.desc("id")).limit(5).collect()}
+    assert set(got["plain"].refs) == {"manual", "wm"} | newest and "decision:3" not in newest
+    assert set(got["worker"].refs) == {"manual", "wm", "decision:3"} | newest
+    assert "write the lexer" in got["worker"].payload and "[decision:3] lexing: by hand" in got["worker"].payload and "lexer" not in got["plain"].payload
+
+
+def test_a_curator_may_compress_but_not_lose(spark):
+    rows = [(1, 'h\nNEW BUILD build:7 "a" [open]', "full " * 50, 60, ["build:7", "wm"]), (2, "x d3 [s] y", "full " * 50, 60, ["decision:3"])]
+    fitted = spark.createDataFrame(rows, "k int, text string, full string, budget int, refs array<string>")
+
+    def down(full, budget):
+        raise ConnectionError("no model")
+
+    texts = lambda curate: [r.text for r in compose.curated(fitted, curate).orderBy("k").collect()]
+    assert texts(down) == [r[1] for r in rows] == texts(lambda full, budget: full[:budget]) == texts(lambda full, budget: "short") == texts(lambda f, b: "y" * 99)
+    assert texts(lambda full, budget: 'both: build:7 "a" and d3 [s]') == ['both: build:7 "a" and d3 [s]'] * 2
+
+
+def test_hook_events(spark):
+    said = [
+        {"hook_event_name": "SessionStart", "session_id": "0123456789", "cwd": r"C:\dev\alpha"},
+        {"hook_event_name": "UserPromptSubmit", "session_id": "0123456789", "cwd": "/x/alpha", "prompt": "fix the scanner " * 30},
+        {"hook_event_name": "PostToolUse", "session_id": "abc", "cwd": "/x/bravo", "tool_name": "Edit", "tool_input": {"file_path": "a/b.py", "command": "sed"}, "tool_response": "ERROR: no"},
+        {"hook_event_name": "PostToolUse", "session_id": "abc", "cwd": "/x/bravo", "tool_name": "Bash", "tool_input": {"command": "ls scanner"}, "tool_response": {"ok": 1}},
+        {"hook_event_name": "Stop", "session_id": "abc" * 20, "cwd": "/x/bravo"},
+    ]
+    lines = spark.createDataFrame([(k, 100.0 + k, json.dumps(x)) for k, x in enumerate(said)] + [(9, 0.0, "{broken"), (10, 0.0, None), (11, 0.0, "[1]"), (12, 0.0, '{"hook_event_name": "Other"}')], "seq long, ts double, line string")
+    got = hook.parse(lines)
+    assert sorted(r.seq for r in got.collect()) == [0, 1, 2, 3, 4, 12]
+    events = hook.events(got).orderBy("ts").collect()
+    assert [(e.kind, e.actor, e.project) for e in events] == [("session.start", "cc-01234567", "alpha"), ("session.end", "cc-abcabcab", "bravo")] and len(events[1].session) == 36
+    calls = log.telemetry(hook.calls(got)).orderBy("ts").collect()
+    assert [(c.tool, c.path, c.is_error) for c in calls] == [("Edit", "a/b.py", 1), ("Bash", None, 0)]
+    assert [tuple(r) for r in hook.heartbeats(got).select("agent_id", "files_hot", "status").collect()] == [("cc-abc", ["a/b.py"], "active")]
+    asks = {r.agent_id: r for r in hook.requests(got).where("task <> ''").collect()}
+    assert len(asks["cc-01234567"].task) == 200 and hook.requests(got).count() == 2
+    assert "ls scanner" in {r.text.replace("bash", "").strip() for r in hook.signals(got).collect()}
+    out = hook.envelopes(spark.createDataFrame([("SessionStart", "text \"x\"", False), ("UserPromptSubmit", "unchanged things", False), ("UserPromptSubmit", "q", True)], "event string, payload string, is_quiet boolean")).collect()
+    held = [json.loads(r.line)["hookSpecificOutput"] for r in out]
+    assert {(h["hookEventName"], h["additionalContext"]) for h in held} == {("SessionStart", '[fleet-context]\ntext "x"'), ("UserPromptSubmit", "[fleet-update]\nunchanged things")}
+
+
+def test_sql_facade(spark, tmp_path, monkeypatch):
+    events = fleet(spark, 3, 3)
+    store = facade.Facade(spark, {"decision": fold.decision(events), "plan_node": fold.plan_node(events), "events": events}, "bravo")
+    assert {r.project for r in store.sql("select distinct project from decision").collect()} == {"alpha", "bravo"}  # own and shared
+    assert store.sql("select count(*) n from events where id > :since", {"since": 0}).first().n == 1
+    assert store.sql("select * from no_such_table").isEmpty() and store.sql("selec").isEmpty()
+    with pytest.raises(Exception, match="no_such_table"):
+        store.sql("select * from no_such_table", strict=True)
+    whole = facade.Facade(spark, {"events": events}, None)
+    assert whole.sql("select * from events").count() == events.count()
+    aware = spark.createDataFrame([("a", "alpha"), ("b", None)], "agent_id string, project string")
+    asked = spark.createDataFrame([("a",), ("b",), ("c",)], "agent_id string")
+    assert {tuple(r) for r in facade.projects_of(aware, asked).collect()} == {("a", "alpha"), ("b", "default"), ("c", "default")}
+    monkeypatch.delenv(facade.VARIABLE, raising=False)
+    folder = tmp_path / "team" / "deep"
+    folder.mkdir(parents=True)
+    assert facade.tenant(str(folder)) == "deep" and facade.tenant(str(folder), " my/label ") == "mylabel"
+    (tmp_path / "team" / facade.MARKER).write_text(" marked one \n", encoding="utf-8")
+    assert facade.tenant(str(folder)) == "markedone"
+    monkeypatch.setenv(facade.VARIABLE, "from-env")
+    assert facade.tenant(str(folder)) == "from-env" and facade.tenant(str(folder), "x") == "x" and facade.tenant("", "") == "from-env"
+
+
+def test_reports_and_drift(spark):
+    events = fleet(spark, 2, 2)
+    plan, decisions, claims = fold.plan_node(events), fold.decision(events), fold.claim(events)
+    held = spark.createDataFrame([], "agent_id string, item_ref string, watermark long, delivered_at double, used_at double, state string")
+    old = plan.drop("origin", "shared")
+    report = health.checks(events, 0, held, plan, decisions, claims, stored={"plan_node": old, "decision": decisions})
+    row = report.where("check = 'schema.migration_parity'").first()
+    assert (row.status, row.detail) == ("error", "plan_node.origin, plan_node.shared")
+    assert health.as_text(report).splitlines()[0].startswith("error") and json.loads(health.as_json(report))["status"] == "error"
+    tools = spark.createDataFrame([(101.0, 1)], "ts double, is_error int")
+    text = health.assessment(health.activity(events, tools, held, decisions, fold.awareness(events), 120.0), health.top_asked(events, 120.0), lambda stats: f"fine: {stats['tool_calls']}")
+    assert "fine: 1" in text and "q0" in text and "tool errors" in health.assessment(health.activity(events, tools, held, decisions, fold.awareness(events), 120.0), health.top_asked(events, 120.0))
+
+
 def test_stream_equals_rebuild(spark, tmp_path):
     events = log.frame(spark, [log.event("plan.open", "a", k, title=f"t{k % 5}", project="p") for k in range(20)] + [log.event("plan.done", "a", 9, node=2, project="p")])
     source, root = f"{tmp_path}/in", f"file://{tmp_path}/out"
