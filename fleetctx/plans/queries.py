@@ -263,8 +263,8 @@ FROM plan n LEFT JOIN plan c ON c.root_id = n.id WHERE n.kind = 'goal' AND n.sta
 items AS (SELECT 0 AS rank, id AS ident, 'decision:' || id AS item_ref, 'NEW DECISION d' || id || ' [' || subject || '] ' || left(choice, 70) || ' (binds: ' || left(binds, 60) || ')' AS line, project AS p, shared FROM decisions WHERE status = 'standing'
 UNION ALL SELECT 1, id, 'build:' || id, 'NEW BUILD build:' || id || ' "' || title || '" [' || status || '] (nodes: root_id = ' || id || ')', project, shared FROM plan WHERE kind = 'goal')
 SELECT a.agent_id, a.project, rank, ident, i.item_ref, CASE WHEN p = a.project THEN '' ELSE '[from project:' || p || '] ' END || line AS line FROM agents a JOIN items i ON a.project = p OR shared = 1 ANTI JOIN ledger l ON l.agent_id = a.agent_id AND l.item_ref = i.item_ref""",
-    "agent_pages": f"""WITH {LOG}, {LEDGER}, both AS (SELECT actor AS agent_id, project FROM log UNION SELECT actor, 'p0' FROM log),
-agents AS (SELECT a.agent_id, project, coalesce(max(watermark) FILTER (item_ref = 'wm'), 0) AS since FROM both a LEFT JOIN ledger USING (agent_id) GROUP BY ALL),
+    "agent_pages": f"""WITH {LOG}, {LEDGER}, pairs AS (SELECT actor AS agent_id, project FROM log UNION SELECT actor, 'p0' FROM log),
+agents AS (SELECT a.agent_id, project, coalesce(max(watermark) FILTER (item_ref = 'wm'), 0) AS since FROM pairs a LEFT JOIN ledger USING (agent_id) GROUP BY ALL),
 nxt AS (SELECT agent_id, agents.project, since, log.id, row_number() OVER (PARTITION BY agent_id, agents.project ORDER BY log.id) AS rn FROM agents LEFT JOIN log ON log.project = agents.project AND log.id > since)
 SELECT agent_id, project, since, coalesce(string_agg(id::VARCHAR, ',' ORDER BY id) FILTER (rn <= 12), '') AS ids, count(id) AS unseen FROM nxt GROUP BY ALL""",
     "delivery_state": f"WITH {LOG}, {LEDGER} SELECT agent_id, count(*) FILTER (used_at IS NULL) AS emitted, count(used_at) AS used FROM ledger WHERE item_ref NOT IN ('manual', 'wm') GROUP BY agent_id",
@@ -287,7 +287,7 @@ SELECT (SELECT count(*) FROM log, late WHERE ts > t AND event_type = 'signup') A
     "top_asked": f"WITH {LOG} SELECT 'k' || k AS q, count(*) AS n FROM log WHERE event_type = 'view' AND ts > (SELECT max(ts) FROM log) - 86400 GROUP BY 1 ORDER BY n DESC, q LIMIT 3",
     "tenant_from_path": "SELECT page_id, coalesce(nullif(left(regexp_replace(list_filter(string_split(replace(url, chr(92), '/'), '/'), lambda x: trim(x) <> '')[-1], '[^\\p{L}\\p{N}._-]', '', 'g'), 64), ''), 'default') AS project FROM pages",
     "budget_prefix": "WITH r AS (SELECT doc_id AS id, length(text) AS size, coalesce(sum(length(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM documents) SELECT id, size, before FROM r WHERE before < 200000",
-    "retrieval": "WITH h AS (SELECT doc_id AS id, left(coalesce(text, ''), 200) AS line, " + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in probe.keywords(QUESTION)) + f" AS hits FROM documents), some AS (SELECT * FROM h WHERE hits >= {max(1, len(probe.keywords(QUESTION)) // 4)}), some_or_all AS (SELECT * FROM some UNION ALL SELECT * FROM h WHERE NOT EXISTS (FROM some)), k AS (SELECT *, coalesce(sum(length(line) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM some_or_all) SELECT id, left(line, ({BUDGET} - before)::INT) AS line, hits FROM k WHERE before <= {BUDGET}",
+    "retrieval": "WITH h AS (SELECT doc_id AS id, left(coalesce(text, ''), 200) AS line, " + " + ".join(f"contains(lower(coalesce(text, '')), '{w}')::INT" for w in probe.keywords(QUESTION)) + f" AS hits FROM documents), held AS (SELECT * FROM h WHERE hits >= {max(1, len(probe.keywords(QUESTION)) // 4)}), chosen AS (SELECT * FROM held UNION ALL SELECT * FROM h WHERE NOT EXISTS (FROM held)), k AS (SELECT *, coalesce(sum(length(line) + 1) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chosen) SELECT id, left(line, ({BUDGET} - before)::INT) AS line, hits FROM k WHERE before <= {BUDGET}",
     "latency_summary": "SELECT event_type, median(value) AS median, min(value) AS least, max(value) AS most, count(*) AS n FROM events GROUP BY event_type",
     "health_checks": f"""{_BOTH}, eff AS (SELECT count(used_at) AS used, count(*) AS n FROM ledger WHERE item_ref NOT IN ('manual', 'wm')), h AS (SELECT max(id) AS head, count(*) AS n, count(*) FILTER (project IS NULL OR project = '') AS bare FROM log),
 lost AS (SELECT count(*) AS n FROM ledger WHERE (item_ref LIKE 'build:%' AND split_part(item_ref, ':', 2)::BIGINT NOT IN (SELECT id FROM plan)) OR (item_ref LIKE 'decision:%' AND split_part(item_ref, ':', 2)::BIGINT NOT IN (SELECT id FROM decisions))),
