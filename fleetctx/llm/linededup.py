@@ -2,8 +2,10 @@
 
 The counts say in how many documents a key is found; documents can be added and deleted, and a key whose
 count falls to zero is forgotten. A shard's cuckoo filter holds the keys whose count has reached the
-threshold; keys that cross it are inserted into or deleted from their filter. Filters are small enough to
-go to every task: lines that pass one are then held against the exact counts, so a false positive drops nothing.
+threshold; keys that cross it are inserted into or deleted from their filter. Filters that are small together
+go to every task; larger ones are met shard by shard, by lines that are dealt by shard and salt. Lines that pass one are
+then held against the exact counts, so a false positive drops nothing. A table of the documents' hashes and
+their counts lets a deletion refuse documents that are not there.
 """
 
 from __future__ import annotations
@@ -18,8 +20,9 @@ from .shared import WS, documents, lowered, materialize, with_document
 
 SLOTS = 4
 KICKS = 500
-SHARDS = 64
-#: Filters of more bytes than this are not sent to tasks: lines then meet the exact counts directly.
+#: Keys of a shard's filter, about, and least shards; salts that deal a shard's lines over tasks.
+SHARD_KEYS, SHARDS, SALTS = 200_000, 64, 16
+#: Filters of more bytes than this together are not sent to every task: lines are dealt to them by shard.
 BROADCAST_FILTERS = 64 << 20
 
 
@@ -103,22 +106,38 @@ def _hold(table: bytes) -> Cuckoo:
     return Cuckoo(np.frombuffer(table, np.uint16).reshape(-1, SLOTS).copy())
 
 
+def _keys(column: pa.Array) -> np.ndarray:
+    """16-byte keys of an Arrow column without nulls, as (n, 16) bytes."""
+    start = column.offset
+    first = np.frombuffer(column.buffers()[1], np.int32)[start] if len(column) else 0
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + 16 * len(column)].reshape(-1, 16)
+
+
 FILTER_SCHEMA = "shard int, table binary"
 
 
 class LineIndex:
-    """Counts (key, n_docs) and filters (shard, table), both in the shared folder; every change makes a new index."""
+    """Counts (key, n_docs), filters (shard, table) and documents (th, n), all in the shared folder; every change makes a new index."""
 
-    def __init__(self, counts: DataFrame, filters: DataFrame, least: int, min_docs: int, shards: int):
-        self.counts, self.filters, self.least, self.min_docs, self.shards = counts, filters, least, min_docs, shards
+    def __init__(self, counts: DataFrame, filters: DataFrame, held: DataFrame, least: int, min_docs: int, shards: int):
+        self.counts, self.filters, self.held, self.least, self.min_docs, self.shards = counts, filters, held, least, min_docs, shards
 
     @classmethod
-    def build(cls, docs: DataFrame, text_col: str = "text", least: int = 1, min_docs: int = 10, shards: int = SHARDS) -> LineIndex:
-        """An index of all rows of docs; each row is a document."""
+    def build(cls, docs: DataFrame, text_col: str = "text", least: int = 1, min_docs: int = 10, shards: int | None = None) -> LineIndex:
+        """An index of all rows of docs; each row is a document, repeated ones too. Null and empty texts are one empty line.
+
+        shards: as many as the keys of min_docs or more documents need, where not given. An empty table makes an empty index.
+        """
         counts = materialize(cls._count(docs, text_col, least), "line-counts")
-        hot = counts.where(F.col("n_docs") >= min_docs).select(_shard(F.col("key"), shards).alias("shard"), "key")
-        made = hot.groupBy("shard").applyInPandas(lambda g: _pack(int(g["shard"].iloc[0]), Cuckoo.of(list(map(bytes, g["key"])))), FILTER_SCHEMA)
-        return cls(counts, materialize(made, "line-filters"), least, min_docs, shards)
+        hot = counts.where(F.col("n_docs") >= min_docs)
+        shards = shards or max(SHARDS, -(-hot.count() // SHARD_KEYS))
+        keyed = hot.select(_shard(F.col("key"), shards).alias("shard"), "key")
+        made = keyed.groupBy("shard").applyInPandas(lambda g: _pack(int(g["shard"].iloc[0]), Cuckoo.of(list(map(bytes, g["key"])))), FILTER_SCHEMA)
+        return cls(counts, materialize(made, "line-filters"), cls._documents(docs, text_col), least, min_docs, shards)
+
+    @staticmethod
+    def _documents(docs: DataFrame, text_col: str) -> DataFrame:
+        return docs.groupBy(F.xxhash64(F.col(text_col).cast("string")).alias("th")).agg(F.count(F.lit(1)).alias("n"))
 
     @staticmethod
     def _count(docs: DataFrame, text_col: str, least: int) -> DataFrame:
@@ -126,19 +145,24 @@ class LineIndex:
         return keys.where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
 
     def insert(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
+        """With the rows of docs as further documents; none leaves the index as it is."""
         return self._change(docs, text_col, 1)
 
     def delete(self, docs: DataFrame, text_col: str = "text") -> LineIndex:
-        """Without documents that were inserted before."""
+        """Without the rows of docs. Raises ValueError, and changes nothing, if a text is not in the index as often as it is to go."""
         return self._change(docs, text_col, -1)
 
     def _change(self, docs: DataFrame, text_col: str, sign: int) -> LineIndex:
+        more = self._documents(docs, text_col).select("th", (F.col("n") * sign).alias("n"))
+        held = materialize(self.held.unionByName(more).groupBy("th").agg(F.sum("n").alias("n")), "line-documents")
+        if sign < 0 and not (short := held.where("n < 0")).isEmpty():
+            raise ValueError(f"{short.count()} texts are to be deleted more often than they were inserted")
         delta = self._count(docs, text_col, self.least).select("key", F.lit(0).cast("long").alias("old"), (F.col("n_docs") * sign).alias("d"))
         both = self.counts.select("key", F.col("n_docs").alias("old"), F.lit(0).cast("long").alias("d")).unionByName(delta)
         both = materialize(both.groupBy("key").agg(F.sum("old").alias("old"), (F.sum("old") + F.sum("d")).alias("n_docs")), "line-counts")
         was, now = F.col("old") >= self.min_docs, F.col("n_docs") >= self.min_docs
         keyed = both.select(_shard(F.col("key"), self.shards).alias("shard"), "key", was.alias("was"), now.alias("now")).where("was or now")
-        changes, held = keyed.where("was <> now").groupBy("shard"), self.filters.groupBy("shard")
+        changes, filters = keyed.where("was <> now").groupBy("shard"), self.filters.groupBy("shard")
 
         def update(key, change: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
             if not len(change):
@@ -149,20 +173,20 @@ class LineIndex:
                     return pd.DataFrame({"shard": [int(key[0])], "table": [b""]})  # full
             return _pack(int(key[0]), made)
 
-        made = materialize(changes.cogroup(held).applyInPandas(update, FILTER_SCHEMA), "line-filters")
+        made = materialize(changes.cogroup(filters).applyInPandas(update, FILTER_SCHEMA), "line-filters")
         full = made.where(F.length("table") == 0)
         if not full.isEmpty():
             again = keyed.where("now").join(full.select("shard"), "shard").select("shard", "key").groupBy("shard")
             anew = again.applyInPandas(lambda g: _pack(int(g["shard"].iloc[0]), Cuckoo.of(list(map(bytes, g["key"])))), FILTER_SCHEMA)
             made = materialize(made.where(F.length("table") > 0).unionByName(anew), "line-filters")
-        return LineIndex(both.where("n_docs > 0").select("key", "n_docs"), made, self.least, self.min_docs, self.shards)
+        return LineIndex(both.where("n_docs > 0").select("key", "n_docs"), made, held.where("n > 0"), self.least, self.min_docs, self.shards)
 
     def passing(self, lines: DataFrame) -> DataFrame:
-        """Of lines (..., key, shard as the last columns), those that their shard's filter may hold."""
+        """Of lines (doc_id, th, at, key, shard), those that their shard's filter may hold."""
         spark: SparkSession = lines.sparkSession
         size = self.filters.agg(F.sum(F.length("table"))).first()[0] or 0
         if size > BROADCAST_FILTERS:
-            return lines
+            return self._by_shard(lines)
         held = spark.sparkContext.broadcast({r["shard"]: bytes(r["table"]) for r in self.filters.collect()})  # at most BROADCAST_FILTERS bytes
 
         def probe(it):
@@ -170,9 +194,7 @@ class LineIndex:
             for b in it:
                 if not len(b):
                     continue
-                keys = b.column(b.num_columns - 2)
-                keys = np.frombuffer(keys.buffers()[2], np.uint8)[keys.offset * 16 :][: 16 * len(b)].reshape(-1, 16)
-                shards = b.column(b.num_columns - 1).to_numpy()
+                keys, shards = _keys(b.column(3)), b.column(4).to_numpy()
                 may = np.zeros(len(b), bool)
                 by = np.argsort(shards, kind="stable")
                 cuts = np.flatnonzero(np.diff(shards[by], prepend=-1))
@@ -183,8 +205,35 @@ class LineIndex:
 
         return lines.mapInArrow(probe, lines.schema)
 
+    def _by_shard(self, lines: DataFrame) -> DataFrame:
+        """passing() where filters are large: each task has one filter at a time, which comes ahead of the lines of its shard and salt."""
+        dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th", "at"), F.lit(SALTS))).withColumn("table", F.lit(None).cast("binary"))
+        tables = self.filters.select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("binary").alias("key"), "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"), "table")
+        both = dealt.unionByName(tables).repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("table").isNull())
+
+        def probe(it):
+            shard, made = None, None
+            for b in it:
+                shards = b.column(4).to_numpy()
+                opens = np.flatnonzero(b.column(6).is_valid().to_numpy(zero_copy_only=False))
+                cuts = sorted({0, *opens.tolist(), *(np.flatnonzero(np.diff(shards)) + 1).tolist()})
+                for a, z in zip(cuts, [*cuts[1:], len(b)]):
+                    if a >= z:
+                        continue
+                    if shards[a] != shard:
+                        shard, made = shards[a], None
+                    if b.column(6)[a].is_valid:
+                        made = _hold(b.column(6)[a].as_py())
+                        a += 1
+                    if made is not None and a < z:
+                        part = b.slice(a, z - a)
+                        part = part.filter(pa.array(made.contains(_keys(part.column(3)))))
+                        yield pa.RecordBatch.from_arrays(part.columns[:5], names=part.schema.names[:5])
+
+        return both.mapInArrow(probe, lines.schema)
+
     def dropped(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, th, at): places of the lines that go, for each document that loses any."""
+        """(doc_id, th, at): places of the lines that go, for each document that loses any; rows of one doc_id and text share a row."""
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.posexplode(F.transform(_lines(F.col(text_col)), lambda x: line_key(x, self.least))).alias("at", "key"))
         rows = rows.where("key is not null").withColumn("shard", _shard(F.col("key"), self.shards))
         hot = self.counts.where(F.col("n_docs") >= self.min_docs).select("key")

@@ -412,6 +412,25 @@ def test_lines_deletion_undoes_insertion(spark):
     assert tuples(back.apply(frame(spark, old))) == brute_lines(old, most=4)
 
 
+@pytest.mark.parametrize("shards", [None, 3])
+def test_lines_meet_large_filters_by_shard(spark, monkeypatch, shards):
+    monkeypatch.setattr(linededup, "BROADCAST_FILTERS", 0)
+    seen, plain = [], linededup.LineIndex._by_shard
+    monkeypatch.setattr(linededup.LineIndex, "_by_shard", lambda self, lines: seen.append(1) or plain(self, lines))
+    rows = awkward() + [(200 + k, "\n".join(f"line {j}" for j in range(k % 7, 40)), "en", "s", 1) for k in range(30)]
+    assert tuples(linededup.LineIndex.build(frame(spark, rows), shards=shards).apply(frame(spark, rows))) == brute_lines(rows) and seen
+
+
+def test_lines_refuse_to_delete_what_is_not_there(spark):
+    rows = [(k, "one\ntwo", "en", "s", 1) for k in range(12)]
+    index = linededup.LineIndex.build(frame(spark, rows))
+    with pytest.raises(ValueError, match="1 texts"):
+        index.delete(frame(spark, [*rows, rows[0]]))
+    with pytest.raises(ValueError, match="1 texts"):
+        index.delete(frame(spark, [(0, "one", "en", "s", 1)]))  # its line is known, the document is not
+    assert index.delete(frame(spark, rows)).counts.isEmpty() and index.insert(frame(spark, [])).counts.count() == 2
+
+
 def test_cuckoo_filter():
     keys = [hashlib.md5(str(k).encode()).digest() for k in range(3000)]
     as_array = lambda ks: np.frombuffer(b"".join(ks), np.uint8).reshape(-1, 16)
