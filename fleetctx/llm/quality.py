@@ -5,19 +5,24 @@ DataFrame functions only. A document is cleaned inside its row: nothing is shuff
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import WS_CLASS, documents
 
-#: Characters that end a sentence, symbols that markup leaves, separators of menus.
-ENDS = ".!?…。！？"
+#: Characters that end a sentence in the scripts that have their own, symbols that markup leaves, separators of menus.
+ENDS = ".!?…。！？｡؟۔।॥።။។‼⁇⁈⁉"
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|>»·•"
-#: Fixed value: phrases of lines that belong to a page and not to its text, as a Java regex.
-BOILERPLATE = "(?i)cookies?\\b|javascript|all rights reserved|copyright|terms of (use|service)|privacy policy|sign (up|in)\\b|log ?in\\b|subscribe|click here|read more|licensed under|lorem ipsum"
+#: Phrases of lines that belong to a page and not to its text, by language; Java regex.
+PHRASES = {
+    "en": ("cookies?\\b", "javascript", "all rights reserved", "copyright", "terms of (use|service)", "privacy policy", "sign (up|in)\\b", "log ?in\\b", "subscribe", "click here", "read more", "licensed under", "lorem ipsum"),
+    "de": ("alle rechte vorbehalten", "datenschutz", "impressum\\b", "nutzungsbedingungen", "jetzt anmelden", "hier klicken", "weiterlesen"),
+    "fr": ("tous droits réservés", "mentions légales", "politique de confidentialité", "conditions d.utilisation", "se connecter", "cliquez ici", "lire la suite"),
+    "es": ("todos los derechos reservados", "aviso legal", "política de privacidad", "términos de uso", "iniciar sesión", "haga clic", "leer más"),
+}
 #: A boilerplate phrase condemns a line of at most this many words.
 SHORT_LINE = 40
 WINDOW = 8
@@ -32,18 +37,28 @@ def _count_of(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def line_fails(line: Column) -> Column:
+def boilerplate(phrases: Mapping[str, Sequence[str]]) -> str:
+    """One regex of the phrases of all languages; a text's language need not be known."""
+    return "(?i)" + "|".join(x for some in phrases.values() for x in some)
+
+
+def line_fails(line: Column, phrases: Mapping[str, Sequence[str]] = PHRASES) -> Column:
     """Whether a line breaks a rule; a line without a word breaks none.
 
-    punctuation: it ends no sentence and holds no sentence's end; symbols: at least three, and 3 to 10 words;
-    navigation: at least three separators, and one to 4 words; boilerplate: a phrase in a short line.
+    punctuation: it holds no sentence's end; symbols: at least three, and 3 to 10 words; navigation: at least three separators,
+    and one to 4 words, or a link in every second word; letters: fewer than half of its characters beside white space are
+    letters; boilerplate: a phrase in a short line.
     """
+    pattern = boilerplate(phrases)
 
     def rules(s: Column) -> Column:
         n = F.size(F.split(s, f"{WS_CLASS}+"))
         no_end = F.length(F.translate(s, ENDS, "")) == F.length(s)
         symbols, bars = _count_of(s, SYMBOLS), _count_of(s, SEPARATORS)
-        return (s != "") & (no_end | ((symbols >= 3) & (symbols * 10 >= n * 3)) | ((bars >= 3) & (bars * 4 >= n)) | ((n <= SHORT_LINE) & s.rlike(BOILERPLATE)))
+        links = (F.length(s) - F.length(F.replace(s, F.lit("://"), F.lit("")))) / 3
+        others = F.length(F.regexp_replace(s, r"[\p{L}\p{M}\s]", ""))
+        letters = F.length(F.regexp_replace(s, r"[^\p{L}\p{M}]", ""))
+        return (s != "") & (no_end | ((symbols >= 3) & (symbols * 10 >= n * 3)) | ((bars >= 3) & (bars * 4 >= n)) | ((links >= 1) & (links * 2 >= n)) | (letters < others) | ((n <= SHORT_LINE) & s.rlike(pattern)))
 
     return let(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), rules)
 
@@ -73,7 +88,7 @@ def repeat_words(words: Column, width: int = WINDOW) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(hashes, marked))
 
 
-def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5) -> DataFrame:
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_lost: float = 0.5, phrases: Mapping[str, Sequence[str]] = PHRASES) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, lost_chars, kept_text) for each row.
 
     A null text has no words and fails. kept: the base rules hold and line cleaning removed at most
@@ -95,7 +110,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mos
         let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.length("text").alias("n_chars"),
-        F.array_join(let(F.transform("lines", line_fails), after_lines), "\n").alias("kept_text"),
+        F.array_join(let(F.transform("lines", lambda x: line_fails(x, phrases)), after_lines), "\n").alias("kept_text"),
     )
     base_failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     lost = F.col("n_chars") - F.length("kept_text")
@@ -120,8 +135,9 @@ wins AS (SELECT r, i, array_to_string(words[i:i + {WINDOW - 1}], ' ') AS w FROM
 twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS n FROM wins) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY r),
 each AS (SELECT r, j, lines[j] AS line, trim(lines[j], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS s FROM parts, unnest(range(1, len(lines) + 1)) t(j)),
-counted AS (SELECT *, len(regexp_split_to_array(s, '{ws}+')) AS n, {count('s', SYMBOLS)} AS symbols, {count('s', SEPARATORS)} AS bars FROM each),
-judged AS (SELECT *, s <> '' AND ({count('s', ENDS)} = 0 OR (symbols >= 3 AND symbols * 10 >= n * 3) OR (bars >= 3 AND bars * 4 >= n) OR (n <= {SHORT_LINE} AND regexp_matches(s, '{BOILERPLATE}'))) AS fails FROM counted),
+counted AS (SELECT *, len(regexp_split_to_array(s, '{ws}+')) AS n, {count('s', SYMBOLS)} AS symbols, {count('s', SEPARATORS)} AS bars,
+  (length(s) - length(replace(s, '://', ''))) / 3 AS links, length(regexp_replace(s, '[^\\p{{L}}\\p{{M}}]', '', 'g')) AS letters, length(regexp_replace(s, '[\\p{{L}}\\p{{M}}\\s\\x0B]', '', 'g')) AS others FROM each),
+judged AS (SELECT *, s <> '' AND ({count('s', ENDS)} = 0 OR (symbols >= 3 AND symbols * 10 >= n * 3) OR (bars >= 3 AND bars * 4 >= n) OR (links >= 1 AND links * 2 >= n) OR letters < others OR (n <= {SHORT_LINE} AND regexp_matches(s, '{boilerplate(PHRASES)}'))) AS fails FROM counted),
 kept AS (SELECT r, coalesce(sum(length(line)) FILTER (NOT fails), 0) + greatest(count(*) FILTER (NOT fails) - 1, 0) AS left_chars,
   count(*) FILTER (s <> '') - count(DISTINCT line) FILTER (s <> '') AS n_dup_lines FROM judged GROUP BY r),
 done AS (SELECT doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, {count('text', SYMBOLS)}::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,

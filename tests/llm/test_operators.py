@@ -764,6 +764,13 @@ def test_quality_measures(spark):
     assert quality.measure(frame(spark, [])).count() == 0
 
 
+def test_quality_lines_of_several_languages(spark):
+    lines = ["Alle Rechte vorbehalten.", "Lire la suite.", "Leer más.", "https://a.b/c http://d.e.", "12 34 56 78.", "यह एक वाक्य है।", "这是一句话。", "C'est une phrase."]
+    rows = [(1, "\n".join(lines), "x", "s", 1)]
+    assert quality.measure(frame(spark, rows)).first().kept_text.split("\n") == lines[5:]
+    assert quality.measure(frame(spark, rows), phrases={"xx": ("phrase",)}).first().kept_text.split("\n") == [*lines[:3], *lines[5:7]]
+
+
 def test_quality_lines(spark):
     good = "This sentence is long enough to hold a thought, and it ends as one should."
     other = "Another one follows that says something else entirely, so that no window of words comes twice."
