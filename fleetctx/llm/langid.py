@@ -24,6 +24,8 @@ ORDER = 4
 SPACE = 32
 OTHER = 0xFFFF
 UND = "und"
+#: Characters whose scores a worker holds at a time.
+HELD = 400_000
 
 
 def symbol_table() -> np.ndarray:
@@ -153,7 +155,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
         table = symbol_table()
         for b in it:
             for lang, group in b.groupby("lang"):
-                for i, j in blocks(texts := group["text"].tolist()):
+                for i, j in blocks(texts := group["text"].tolist(), HELD):
                     keys, n = np.unique(grams(*symbols(texts[i:j], table)), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "key": keys.view(np.int64), "n": n})
 
@@ -168,7 +170,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_c
     def calibrate(it):
         table = symbol_table()
         for b in it:
-            for i, j in blocks(texts := b["text"].tolist()):
+            for i, j in blocks(texts := b["text"].tolist(), HELD):
                 ce, size, letters = models.entropies(texts[i:j], table)
                 best = ce.argmin(axis=1)
                 yield pd.DataFrame({"best": best, "ce": ce[np.arange(len(best)), best] - 2 / np.sqrt(size)})[letters]
@@ -201,7 +203,7 @@ def classify(docs: DataFrame, models: Models, text_col: str = "text", carry: lis
         for b in it:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             pred, score, rejected = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-            for i, j in blocks(texts) if models.langs else ():
+            for i, j in blocks(texts, HELD) if models.langs else ():
                 ce, size, letters = models.entropies(texts[i:j], table)
                 best = ce.argmin(axis=1)
                 low = ce[np.arange(len(best)), best]

@@ -62,6 +62,13 @@ _LOW = np.uint64((1 << RARITY_BITS) - 1)
 TALLY_PARTS = 8
 
 
+def slices(batches, rows: int = 500):
+    """Arrow batches in parts of some rows, so that few texts are Python strings at a time."""
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.slice(k, rows)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, tallied: bool = False) -> DataFrame:
     """One row (doc_id, text_hash, fp) for each row of docs. A null text counts as empty.
 
@@ -70,7 +77,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def batches(it):
         tally = np.zeros(1 << RARITY_BITS, np.int64)
-        for b in it:
+        for b in slices(it):
             fps = []
             for t in b.column(2).to_pylist():
                 h = shingles(t, width)
@@ -192,7 +199,7 @@ def prefix_keys(docs: DataFrame, rank: np.ndarray, text_col: str, width: int, si
 
     def batches(it):
         rank, seen = held.value, set()
-        for b in it:
+        for b in slices(it):
             keys, texts, sizes, places = [], [], [], []
             for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if h in seen:
@@ -242,9 +249,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
     def batches(it):
         for b in it:
             maybe = flags.value[b.column(1).to_numpy(zero_copy_only=False) & ((1 << FILTER_BITS) - 1)]
-            b = b.filter(pa.array(maybe))
-            for k in range(0, len(b), 500):
-                part = b.slice(k, 500)
+            for part in slices([b.filter(pa.array(maybe))]):
                 sets = [np.unique(shingles(t, width)) for t in part.column(2).to_pylist()]
                 if whole:
                     found = pa.array([x.tobytes() for x in sets], pa.binary())
@@ -262,7 +267,7 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     """Of pairs (a, b, u, v) of texts and their groups, distinct (u, v) with sets of at least this similarity."""
 
     def batches(it):
-        for batch in it:
+        for batch in slices(it):
             us, vs = [], []
             for u, v, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
