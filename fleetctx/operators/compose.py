@@ -218,7 +218,7 @@ def inlined(plan: DataFrame, decisions: DataFrame, tasks: DataFrame) -> DataFram
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(one_line(p.cast("string")), F.lit("")) for p in parts))
     matched = matched_builds(plan, tasks)
     head = matched.select("agent_id", "project", "goal_id", F.lit(0).alias("part"), F.lit(0).cast("long").alias("id"), text("-- YOUR BUILD build:", c("goal_id"), " --").alias("line"), none.alias("refs"))
-    nodes = inline_nodes(plan, matched).select("agent_id", "project", "goal_id", F.lit(1).alias("part"), "id", text("  node ", c("id"), " [", c("kind"), "/", c("status"), "] ", c("node_title"), F.when(c("owner") != "", F.concat(F.lit(" owner="), c("owner"))).otherwise("")).alias("line"), none.alias("refs"))
+    nodes = inline_nodes(plan, matched).select("agent_id", "project", "goal_id", F.lit(1).alias("part"), "id", F.rtrim(text("  node ", c("id"), " [", c("kind"), "/", c("status"), "] ", c("node_title"), " ", F.when(c("owner") != "", F.concat(F.lit("owner="), c("owner"))).otherwise(""))).alias("line"), none.alias("refs"))
     rules = inline_decisions(decisions, matched).select("agent_id", "project", "goal_id", F.lit(2).alias("part"), "id", text("  rule [decision:", c("id"), "] ", c("subject"), ": ", c("choice"), " (binds: ", c("binds"), ")").alias("line"), F.array(F.concat(F.lit("decision:"), c("id").cast("string"))).alias("refs"))
     rows = head.unionByName(nodes).unionByName(rules)
     listed = F.array_sort(F.collect_list(F.struct("goal_id", "part", "id", "line", "refs")))  # 19 lines a matched build

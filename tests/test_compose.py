@@ -229,7 +229,7 @@ def test_forged_marks_deliver_nothing_and_tasks_bring_their_build(spark):
     newest = {f"build:{r.id}" for r in plan.where("kind = 'goal'").orderBy(F.desc("id")).limit(5).collect()} | {f"decision:{r.id}" for r in decisions.orderBy(F.desc("id")).limit(5).collect()}
     assert set(got["plain"].refs) == {"manual", "wm"} | newest and "decision:3" not in newest
     assert set(got["worker"].refs) == {"manual", "wm", "decision:3"} | newest
-    assert "write the lexer" in got["worker"].payload and "[decision:3] lexing: by hand" in got["worker"].payload and "lexer" not in got["plain"].payload
+    assert "[task/open] write the lexer owner=lead\n" in got["worker"].payload and "[decision:3] lexing: by hand" in got["worker"].payload and "lexer" not in got["plain"].payload
 
 
 def test_a_curator_may_compress_but_not_lose(spark):
