@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import documents, materialize, with_document
+from .shared import discard, documents, materialize, with_document
 from .suffix import permuted_lcp, suffix_array, words_at
 
 LENGTH, GRAM = 400, 64
@@ -207,6 +207,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     twice = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "repeated-anchors")  # written, so that a hot anchor's join can be split
     spots = found.join(twice, "h").groupBy("doc_id", "th").agg(F.collect_set(F.struct("h", "anchor", "first", "n")).alias("spots"))
     places = materialize(cut_segments(with_document(rows, spots).select("doc_id", "th", "text", "spots"), length), "segments")
+    discard(found), discard(twice)
     distinct = places.groupBy("seg").agg(F.count(F.lit(1)).alias("times"), F.first("h").alias("h"), F.first("back").alias("back"), F.first("n").alias("n"), F.first("body").alias("body"))
     distinct = materialize(distinct, "different-segments")
 
@@ -236,6 +237,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     whole = distinct.where("times > 1").select("seg", every.alias("runs"))
     # A segment found twice repeats as a whole; it is among the runs as well where its anchor has others.
     hit = materialize(whole.unionByName(runs.join(whole.select("seg"), "seg", "left_anti")), "repeated-runs")
+    discard(distinct)
     spans = places.select("seg", "doc_id", "th", "first").join(hit, "seg")
     spans = spans.select("doc_id", "th", F.transform("runs", lambda r: F.struct((r["a"] + F.col("first")).alias("a"), (r["z"] + F.col("first")).alias("z"))).alias("runs"))
     return spans.groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("spans"))
