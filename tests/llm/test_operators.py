@@ -1,6 +1,7 @@
 """Every operator against brute force on awkward tables, empty ones, and ones with clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -545,6 +546,25 @@ def test_sharding(spark):
     assert sharding.assign(frame(spark, []), [1.0]).count() == 0
 
 
+def brute_rendezvous(key, weights):
+    """The shard of the greatest -weight / ln(u) by a plain loop; ties to the smaller number."""
+    best = None
+    for i, w in enumerate(weights):
+        if w > 0:
+            h = xxhash.xxh64_intdigest(struct.pack("<i", i), xxhash.xxh64_intdigest(key.encode(), 42))
+            score = -w / math.log(((h >> 11) + 0.5) / 2**53)
+            if best is None or score > best[0]:
+                best = (score, i)
+    return best[1]
+
+
+def test_sharding_equals_an_arg_max(spark):
+    rows = [(k, "t", "en", "s", 1) for k in [*range(-40, 300), None]]
+    weights, grown = [1.0, 0.0, 2.5, 0.5], [1.0, 0.0, 2.5, 0.5, 3.0]
+    got = {r.doc_id: (r.shard, r.grown_shard) for r in sharding.assign(frame(spark, rows), weights, grown=grown).collect()}
+    assert got == {r[0]: tuple(brute_rendezvous("null" if r[0] is None else str(r[0]), w) for w in (weights, grown)) for r in rows}
+
+
 def test_sharding_follows_weights(spark):
     df = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     n = Counter(r.shard for r in sharding.assign(df, [1.0, 2.0, 0.0, 1.0]).collect())
