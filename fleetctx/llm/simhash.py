@@ -9,6 +9,7 @@ survivors get the full Hamming check. No pair is lost and no bucket is capped.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Sequence
 from itertools import combinations, repeat
@@ -106,10 +107,12 @@ def rarity(tallies: DataFrame) -> np.ndarray:
         for b in it:
             for x in b.column(0).to_pylist():
                 total += np.frombuffer(zlib.decompress(x), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], names=["tally"])
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)])], names=["tally"])
 
-    parts = tallies.select("tally").repartition(TALLY_PARTS).mapInArrow(add, "tally binary").collect()  # TALLY_PARTS arrays, whatever the input
-    total = np.sum([np.zeros(1 << RARITY_BITS, np.int64), *(np.frombuffer(r.tally, np.int64) for r in parts)], axis=0)
+    some = max(TALLY_PARTS, math.isqrt(tallies.count()))  # sums of sums, so that no task reads all
+    sums = tallies.select("tally").coalesce(some).mapInArrow(add, "tally binary")
+    parts = sums.repartition(TALLY_PARTS).mapInArrow(add, "tally binary").collect()  # TALLY_PARTS arrays, whatever the input
+    total = np.sum([np.zeros(1 << RARITY_BITS, np.int64), *(np.frombuffer(zlib.decompress(r.tally), np.int64) for r in parts)], axis=0)
     rank = np.empty(len(total), np.uint64)
     rank[np.argsort(total, kind="stable")] = np.arange(len(total), dtype=np.uint64)
     return rank
