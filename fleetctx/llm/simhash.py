@@ -160,6 +160,7 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> Da
 
     fps: distinct (fp, group); pairs inside one group are known to be connected and are left out: a question whose chain value
     is stored for its own group alone goes no further, so a dense cluster that is one group is not compared with itself.
+    Spark's size estimates do not see that explode() multiplies rows, so exploded sides are merged: else they would be broadcast.
     """
     ring = Ring(tau, segments, chain)
     starts = range(segments)
@@ -168,20 +169,20 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> Da
     wanted = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(ring.mask(s, chain)).alias("m"), F.lit(f).alias("f")) for s, f in asks])
     asked = fps.select(F.col("fp").alias("a"), F.col("group").alias("a_group"), F.explode(wanted).alias("x")).select("a", "a_group", "x.s", F.expr("(a & x.m) ^ x.f").alias("k"))
     held = stored.groupBy("s", "k").agg(F.min("b_group").alias("lo"), F.max("b_group").alias("hi"))
-    asked = asked.join(held, ["s", "k"]).where("lo <> a_group or hi <> a_group").select("a", "a_group", "s", "k")
+    asked = asked.hint("merge").join(held, ["s", "k"]).where("lo <> a_group or hi <> a_group").select("a", "a_group", "s", "k")
     on = (asked.s == stored.s) & (asked.k == stored.k) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     for length in range(chain + 1, segments):
         mask = F.element_at(F.array(*[F.lit(ring.mask(s, length)) for s in starts]), asked.s + 1)
         on &= F.bit_count(diff.bitwiseAND(mask)) <= ring.budget(length)
     on &= F.bit_count(diff) <= tau
-    return asked.join(stored, on).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return asked.hint("merge").join(stored, on).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
 def one_bit_links(fps: DataFrame) -> DataFrame:
     """(u, v) at Hamming distance 1: each fingerprint looks its 64 neighbours up; at most 64 links a fingerprint."""
     asked = fps.select(F.col("fp").alias("u"), F.explode(F.array(*[F.lit(_signed(1 << b)) for b in range(64)])).alias("m")).select("u", F.col("u").bitwiseXOR(F.col("m")).alias("v")).where("u < v")
-    return asked.join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
+    return asked.hint("merge").join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
 
 
 #: 64-bit words of a text's odd sketch.
@@ -322,14 +323,14 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
             orders = [F.lit(0) if not j else F.xxhash64("key", "text_hash", F.lit(j)) for j in range(STARS)]
             stars = [F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket) for order in orders]
             star = here.withColumn("stars", F.array(*stars)).withColumn("c", F.explode("stars")).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
-            star = star.where(may("n", "m", "at", "other")).select("a", "b", "u", "v", "n", "m").distinct()
+            star = star.where(may("n", "m", "at", "other")).select("a", "b", "u", "v", "n", "m").distinct().hint("merge")  # exploded, as in links()
             pairs = star.join(sketches.select(F.col("text_hash").alias("a"), *words("s")), "a").join(sketches.select(F.col("text_hash").alias("b"), *words("t")), "b").where(near)
         else:
             rest = mixed(here.drop("group").join(label.select("text_hash", "group"), "text_hash"), "group")
             rest = materialize(rest.join(sketches.select("text_hash", *words("s")), "text_hash"), "simhash-rest")
             one = rest.withColumnsRenamed({"text_hash": "a", "group": "u"})
             two = rest.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
-            pairs = one.join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & near)
+            pairs = one.hint("merge").join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & near)
         pairs = materialize(pairs.select("a", "b", "u", "v").distinct(), f"simhash-pairs-{k}")
         if pairs.isEmpty():
             continue
