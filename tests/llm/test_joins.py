@@ -5,6 +5,8 @@ from itertools import combinations
 
 from fleetctx.llm import shared, simhash
 
+from .fixtures import frame
+
 
 def test_exploded_fingerprints_are_not_broadcast(spark):
     """Files of a few MB hold fingerprints whose questions are GB; the driver of 0.6 GB of documents had no room for them."""
@@ -19,3 +21,24 @@ def test_exploded_fingerprints_are_not_broadcast(spark):
         assert {tuple(sorted((r.u, r.v))) for r in found.collect()} == want
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_near_dedup_stage_merges_what_it_exploded(spark, monkeypatch):
+    """The pipeline's stage writes its links and pairs from merged joins."""
+    rng, plans, write = random.Random(6), {}, shared.materialize
+
+    def noted(df, label):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, label)
+
+    monkeypatch.setattr(simhash, "materialize", noted)
+    monkeypatch.setattr(shared, "materialize", noted)
+    rows = []
+    for k in range(8):
+        words = [f"w{rng.randrange(500)}" for _ in range(80)]
+        rows += [(10 * k, " ".join(words), "en", "s", 1), (10 * k + 1, " ".join([*words[:-2], "other", "end"]), "en", "s", 1)]
+    kept = simhash.keep_one(frame(spark, rows), width=5, similarity=0.8)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 80, 10))
+    assert plans["cc-edges"][1].count("SortMergeJoin") >= 2  # of the links at 4 bits
+    assert "SortMergeJoin" in plans["simhash-pairs-0"][0]
+    assert "SortMergeJoin" in plans["simhash-pairs-1"][0] and "Broadcast" not in plans["simhash-pairs-1"][0]
