@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import connected_components, discard, documents, materialize, unveiled, veiled
+from .shared import connected_components, discard, documents, materialize, merged, unveiled, veiled
 
 SEED = 42
 
@@ -160,7 +160,7 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> Da
 
     fps: distinct (fp, group); pairs inside one group are known to be connected and are left out: a question whose chain value
     is stored for its own group alone goes no further, so a dense cluster that is one group is not compared with itself.
-    Spark's size estimates do not see that explode() multiplies rows, so exploded sides are merged: else they would be broadcast.
+    Spark's size estimates do not see that explode() multiplies rows, so these too are merged joins: else they would be broadcast.
     """
     ring = Ring(tau, segments, chain)
     starts = range(segments)
@@ -169,20 +169,20 @@ def links(fps: DataFrame, tau: int = 4, segments: int = 5, chain: int = 2) -> Da
     wanted = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(ring.mask(s, chain)).alias("m"), F.lit(f).alias("f")) for s, f in asks])
     asked = fps.select(F.col("fp").alias("a"), F.col("group").alias("a_group"), F.explode(wanted).alias("x")).select("a", "a_group", "x.s", F.expr("(a & x.m) ^ x.f").alias("k"))
     held = stored.groupBy("s", "k").agg(F.min("b_group").alias("lo"), F.max("b_group").alias("hi"))
-    asked = asked.hint("merge").join(held, ["s", "k"]).where("lo <> a_group or hi <> a_group").select("a", "a_group", "s", "k")
+    asked = merged(asked, held, ["s", "k"]).where("lo <> a_group or hi <> a_group").select("a", "a_group", "s", "k")
     on = (asked.s == stored.s) & (asked.k == stored.k) & (F.col("a") < F.col("b")) & (F.col("a_group") != F.col("b_group"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     for length in range(chain + 1, segments):
         mask = F.element_at(F.array(*[F.lit(ring.mask(s, length)) for s in starts]), asked.s + 1)
         on &= F.bit_count(diff.bitwiseAND(mask)) <= ring.budget(length)
     on &= F.bit_count(diff) <= tau
-    return asked.hint("merge").join(stored, on).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    return merged(asked, stored, on).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
 def one_bit_links(fps: DataFrame) -> DataFrame:
     """(u, v) at Hamming distance 1: each fingerprint looks its 64 neighbours up; at most 64 links a fingerprint."""
     asked = fps.select(F.col("fp").alias("u"), F.explode(F.array(*[F.lit(_signed(1 << b)) for b in range(64)])).alias("m")).select("u", F.col("u").bitwiseXOR(F.col("m")).alias("v")).where("u < v")
-    return asked.hint("merge").join(fps.select(F.col("fp").alias("v")), "v").select("u", "v")
+    return merged(asked, fps.select(F.col("fp").alias("v")), "v").select("u", "v")
 
 
 #: 64-bit words of a text's odd sketch.
@@ -263,7 +263,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(batches, "id long, h long, found " + ("binary" if whole else "array<long>"))
-    rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    rows = merged(rows, wanted, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("text_hash")), "left_semi")
     return rows.select(F.col("h").alias("text_hash"), F.col("found").alias("held" if whole else "sketch")).dropDuplicates(["text_hash"])
 
 
@@ -282,7 +282,8 @@ def similar_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
 
     sets = sets.select("text_hash", "held")
-    wide = pairs.join(sets.withColumnsRenamed({"text_hash": "a", "held": "held_a"}), "a").join(sets.withColumnsRenamed({"text_hash": "b", "held": "held_b"}), "b")
+    wide = merged(pairs, sets.withColumnsRenamed({"text_hash": "a", "held": "held_a"}), "a")
+    wide = merged(wide, sets.withColumnsRenamed({"text_hash": "b", "held": "held_b"}), "b")
     return wide.select("u", "v", "held_a", "held_b").mapInArrow(batches, "u long, v long").distinct()
 
 
@@ -295,7 +296,7 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
     pairs whose sketches differ in no more bits than the sets may are held against each other whole.
     """
     share = (1 - similarity) / (1 + similarity)
-    texts = rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")).join(grouped.select("fp", "group"), "fp")
+    texts = merged(rows.groupBy("text_hash").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp")), grouped.select("fp", "group"), "fp")
     texts = materialize(texts.select("text_hash", "rep", F.col("group").alias("base")), "simhash-by-text")
     label = texts.select("text_hash", "base", F.col("base").alias("group"))
     bucket = Window.partitionBy("key")
@@ -312,10 +313,10 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
     keys = mixed(prefix_keys(docs, rank, text_col, width, similarity), "text_hash").withColumn("before", F.min("at").over(bucket))
     keys = keys.where(F.col("at") + F.col("before") <= share * (1 + 1 / similarity) * F.col("n") + 1e-9).drop("before")  # may() with the least place and the largest size
     members = materialize(keys.distinct(), "simhash-members")
-    here = materialize(mixed(members.join(label.select("text_hash", "group"), "text_hash"), "group"), "simhash-mixed")
+    here = materialize(mixed(merged(members, label.select("text_hash", "group"), "text_hash"), "group"), "simhash-mixed")
     discard(members)
     rep = texts.select("text_hash", "rep")
-    sketches = materialize(shingle_sets(docs, here.select("text_hash").distinct().join(rep, "text_hash"), id_col, text_col, width, False), "simhash-sketches")
+    sketches = materialize(shingle_sets(docs, merged(here.select("text_hash").distinct(), rep, "text_hash"), id_col, text_col, width, False), "simhash-sketches")
     words = lambda p: [F.col("sketch")[i].alias(f"{p}{i}") for i in range(SKETCH)]
     near = sum((F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"t{i}"))) for i in range(SKETCH)), F.lit(0)) <= share * (F.col("n") + F.col("m")) + 1e-9
     for k in range(2):
@@ -323,27 +324,28 @@ def complete(docs: DataFrame, rows: DataFrame, grouped: DataFrame, rank: np.ndar
             orders = [F.lit(0) if not j else F.xxhash64("key", "text_hash", F.lit(j)) for j in range(STARS)]
             stars = [F.min(F.struct(order.alias("order"), "text_hash", "n", "at", "group")).over(bucket) for order in orders]
             star = here.withColumn("stars", F.array(*stars)).withColumn("c", F.explode("stars")).where("group <> c.group").select(F.col("text_hash").alias("a"), F.col("c.text_hash").alias("b"), F.col("group").alias("u"), F.col("c.group").alias("v"), "n", F.col("c.n").alias("m"), "at", F.col("c.at").alias("other"))
-            star = star.where(may("n", "m", "at", "other")).select("a", "b", "u", "v", "n", "m").distinct().hint("merge")  # exploded, as in links()
-            pairs = star.join(sketches.select(F.col("text_hash").alias("a"), *words("s")), "a").join(sketches.select(F.col("text_hash").alias("b"), *words("t")), "b").where(near)
+            star = star.where(may("n", "m", "at", "other")).select("a", "b", "u", "v", "n", "m").distinct()
+            pairs = merged(star, sketches.select(F.col("text_hash").alias("a"), *words("s")), "a")
+            pairs = merged(pairs, sketches.select(F.col("text_hash").alias("b"), *words("t")), "b").where(near)
         else:
-            rest = mixed(here.drop("group").join(label.select("text_hash", "group"), "text_hash"), "group")
-            rest = materialize(rest.join(sketches.select("text_hash", *words("s")), "text_hash"), "simhash-rest")
+            rest = mixed(merged(here.drop("group"), label.select("text_hash", "group"), "text_hash"), "group")
+            rest = materialize(merged(rest, sketches.select("text_hash", *words("s")), "text_hash"), "simhash-rest")
             one = rest.withColumnsRenamed({"text_hash": "a", "group": "u"})
             two = rest.withColumnsRenamed({"text_hash": "b", "group": "v", "n": "m", "at": "other", "key": "key2"} | {f"s{i}": f"t{i}" for i in range(SKETCH)})
-            pairs = one.hint("merge").join(two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & near)
+            pairs = merged(one, two, (one["key"] == two["key2"]) & (F.col("u") < F.col("v")) & may("n", "m", "at", "other") & near)
         pairs = materialize(pairs.select("a", "b", "u", "v").distinct(), f"simhash-pairs-{k}")
         if pairs.isEmpty():
             continue
         asked = pairs.select(F.col("a").alias("text_hash")).unionByName(pairs.select(F.col("b").alias("text_hash"))).distinct()
-        sets = materialize(shingle_sets(docs, asked.join(rep, "text_hash"), id_col, text_col, width, True), "simhash-sets")
+        sets = materialize(shingle_sets(docs, merged(asked, rep, "text_hash"), id_col, text_col, width, True), "simhash-sets")
         found = materialize(similar_links(pairs, sets, similarity), f"simhash-links-{k}")
         discard(sets)
         if found.isEmpty():
             continue
         wide = connected_components(found).withColumnsRenamed({"node": "group", "root": "wide"})
-        label = materialize(label.join(wide, "group", "left").select("text_hash", "base", F.coalesce("wide", "group").alias("group")), "simhash-labels")
+        label = materialize(merged(label, wide, "group", "left").select("text_hash", "base", F.coalesce("wide", "group").alias("group")), "simhash-labels")
     moved = label.select(F.col("base").alias("group"), F.col("group").alias("wide")).distinct()
-    out = materialize(grouped.join(moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
+    out = materialize(merged(grouped, moved, "group", "left").select("fp", "least", "rep", F.coalesce("wide", "group").alias("group")), "simhash-groups")
     for done in (here, sketches, rest):
         discard(done)
     return out
@@ -367,18 +369,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rows = rows.where("tally is null").drop("tally")
     by_fp = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("rep")), "simhash-fp")
     close = connected_components(one_bit_links(by_fp.select("fp")))
-    grouped = materialize(by_fp.join(close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rep", F.coalesce("root", "fp").alias("group")), "simhash-groups")
+    grouped = materialize(merged(by_fp, close.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "rep", F.coalesce("root", "fp").alias("group")), "simhash-groups")
     for tau in taus:
         far = links(grouped.select("fp", "group"), tau, tau + 1, chain)
         group_of = grouped.select("fp", "group")
-        far = far.join(group_of.withColumnsRenamed({"fp": "u", "group": "gu"}), "u").join(group_of.withColumnsRenamed({"fp": "v", "group": "gv"}), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
+        far = merged(far, group_of.withColumnsRenamed({"fp": "u", "group": "gu"}), "u")
+        far = merged(far, group_of.withColumnsRenamed({"fp": "v", "group": "gv"}), "v").select(F.col("gu").alias("u"), F.col("gv").alias("v"))
         wide = connected_components(far).withColumnRenamed("node", "group")
-        grouped = materialize(grouped.join(wide, "group", "left").select("fp", "least", "rep", F.coalesce("root", "group").alias("group")), "simhash-groups")
+        grouped = materialize(merged(grouped, wide, "group", "left").select("fp", "least", "rep", F.coalesce("root", "group").alias("group")), "simhash-groups")
     if similarity is not None:
         grouped = complete(docs, rows, grouped, rank, id_col, text_col, width, similarity)
     best = grouped.groupBy("group").agg(F.min("least").alias("component_id"), F.min("rep").alias("rep"))
-    named = grouped.select("fp", "group").join(best, "group").select("fp", F.col("group").alias("root"), "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
-    return rows.join(materialize(named, "simhash-named"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")
+    named = merged(grouped.select("fp", "group"), best, "group").select("fp", F.col("group").alias("root"), "component_id", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    return merged(rows, materialize(named, "simhash-named"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id", "rep_id", "rep_hash")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -391,7 +394,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     chosen = near_duplicates(own, id_at, text_at, **how)
     chosen = chosen.where(F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash"))).select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
     marked = own.withColumn("hash", F.xxhash64(text_at))
-    kept = marked.join(chosen, F.col(id_at).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
+    kept = merged(marked, chosen, F.col(id_at).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi")
     first = Window.partitionBy(F.col(id_at).cast("long"), "hash").orderBy("hash")
     return unveiled(kept.withColumn("nth", F.row_number().over(first)).where("nth = 1"), docs)
 
