@@ -591,6 +591,18 @@ def test_encoder_equals_library():
         assert [x.tolist() for x in encoder.encode(texts)] == reference_ids(texts)
 
 
+def test_encoder_learns_words_once_whatever_marks_and_line_ends_follow():
+    rng, words, ends = random.Random(2), [f"w{'abcdefghij'[k % 10]}{'stu'[k // 10]}é" for k in range(30)], ["", ".", ",", "...", "?!", "'", ".\n"]
+    pieces = [w + e + (v if e[-1:] == "\n" else "") for w in words for e in ends for v in words]
+    texts = [" ".join(rng.sample(pieces, 50)) for _ in range(200)]
+    encoder = tokens.Encoder(open(MODEL, encoding="utf-8").read())
+    assert [x.tolist() for x in encoder.encode(texts)] == reference_ids(texts)
+    assert len(set(pieces)) > 1000 and len(encoder.at) <= 2 * len(words) + len(ends) + len(words) * 2  # with and without a space
+    encoder, alphabet = tokens.Encoder(open(MODEL, encoding="utf-8").read(), memory=200), list(" \n\t.,'#sabé1½日\u0301\u3000\x1c\0") + ["it's", "\n\n", "Word.\nNext"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    assert [x.tolist() for k in range(0, len(texts), 8) for x in encoder.encode(texts[k : k + 8])] == reference_ids(texts)
+
+
 def test_token_files(spark):
     rows = awkward()
     path = shared.new_path(spark, "tokens")
